@@ -20,6 +20,7 @@ def build_session(app_name: str = "reelgraph", cores: int | None = None, **conf:
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

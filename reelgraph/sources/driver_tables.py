@@ -32,6 +32,13 @@ def audio_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk around each audio segment, described by its transcript."""
+    return audio_segments(spark, sf_dir).select(
+        "chunk_id", "video_id", "start_time", "end_time", F.col("transcript").alias("unified_description")
+    )
+
+
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One video per conversation."""
     g = (
@@ -223,6 +230,10 @@ CTES: dict[str, str] = {
                turn * 30.0::DOUBLE + 30.0::DOUBLE AS end_time, text AS transcript,
                0.9::DOUBLE AS confidence, role AS speaker
         FROM conversations""",
+    "chunks": """
+        SELECT conv_id::VARCHAR || '_chunk_' || lpad(turn::VARCHAR, 4, '0') AS chunk_id, conv_id::VARCHAR AS video_id,
+               turn * 30.0::DOUBLE AS start_time, turn * 30.0::DOUBLE + 30.0::DOUBLE AS end_time,
+               text AS unified_description FROM conversations""",
     "videos": """
         SELECT conv_id::VARCHAR AS video_id, 'video_' || conv_id || '.mp4' AS filename,
                count(*) * 30.0::DOUBLE AS duration, count(*) AS chunk_count,
