@@ -72,26 +72,31 @@ def mentioned_entities(entities: DataFrame, aliases: DataFrame, query: str) -> D
 
 
 def neighbours(relations: DataFrame) -> DataFrame:
-    """Every relation seen from each of its ends; a self-loop is seen once."""
-    out = relations.select(
-        F.col("source_entity").alias("entity_id"), F.col("target_entity").alias("other_id"), "relation_id",
-        "relation_type", F.col("confidence").alias("strength"), F.lit("out").alias("direction"),
+    """Every relation seen from each of its ends, from one scan; a self-loop is seen once."""
+    source, target = F.col("source_entity"), F.col("target_entity")
+
+    def seen(entity: Column, other: Column, direction: str) -> Column:
+        return F.struct(entity.alias("entity_id"), other.alias("other_id"), F.lit(direction).alias("direction"))
+
+    ends = F.when(source == target, F.array(seen(source, target, "out"))).otherwise(
+        F.array(seen(source, target, "out"), seen(target, source, "in"))
     )
-    back = relations.filter(F.col("source_entity") != F.col("target_entity")).select(
-        F.col("target_entity").alias("entity_id"), F.col("source_entity").alias("other_id"), "relation_id",
-        "relation_type", F.col("confidence").alias("strength"), F.lit("in").alias("direction"),
+    return relations.select(
+        "relation_id", "relation_type", F.col("confidence").alias("strength"), F.inline(ends)
     )
-    return out.unionByName(back)
 
 
 def related_entities(relations: DataFrame, entities: DataFrame, of: DataFrame, k: int = 10) -> DataFrame:
-    """For each entity in ``of``, its k strongest relations to existing entities.
+    """For each entity in ``of``, unique by id, its k strongest relations to existing entities.
 
-    The rank limit runs inside each task before the shuffle, so a hub ships k rows per task.
+    Columns of ``of`` and the other entity's name and description come along.  The rank limit runs
+    inside each task before the shuffle, so a hub ships k rows per task.
     """
-    known = entities.select(F.col("entity_id").alias("other_id"))
-    near = neighbours(relations).join(of.select("entity_id").distinct(), "entity_id", "left_semi")
-    near = near.join(known, "other_id", "left_semi")
+    others = entities.select(
+        F.col("entity_id").alias("other_id"), F.col("name").alias("other_name"),
+        F.col("description").alias("other_description"), F.col("confidence").alias("other_confidence"),
+    )
+    near = neighbours(relations).join(of, "entity_id").join(others, "other_id")
     w = Window.partitionBy("entity_id").orderBy(F.desc("strength"), "other_id", "relation_id")
     return near.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
@@ -126,9 +131,10 @@ def entity_segments(
 
     out = segments(target.withColumn("relevance", F.col("confidence")), "entity_segment")
     if include_related:
-        strong = related_entities(relations, entities, target, related_limit).select(
-            F.col("other_id").alias("entity_id"), "strength"
+        strong = related_entities(relations, entities, target.select("entity_id"), related_limit)
+        scored = strong.select(
+            F.col("other_id").alias("entity_id"), F.col("other_name").alias("name"),
+            (F.col("other_confidence") * F.col("strength") * 0.8).alias("relevance"),
         )
-        scored = entities.join(strong, "entity_id").withColumn("relevance", F.col("confidence") * F.col("strength") * 0.8)
         out = out.unionByName(segments(scored, "related_entity_segment"))
     return out.orderBy(F.desc("relevance"), "entity_id", "video_id", "start_time", "end_time").limit(max_results)

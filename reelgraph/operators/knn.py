@@ -42,30 +42,27 @@ def _scores(vectors, query, kind: str):
     return pa.array(out, type=pa.float64())
 
 
-def cosine_to(vector: Column, query: Sequence[float]) -> Column:
-    """Cosine to ``query``; 0 for null, differently sized or zero vectors.  Runs on Arrow batches."""
+def _scorer(query: Sequence[float], kind: str):
+    import pyarrow as pa
+
     q = [float(x) for x in query]
 
     def score(batch):
-        return _scores(batch, q, "cosine")
-
-    import pyarrow as pa
+        return _scores(batch, q, kind)
 
     score.__annotations__ = {"batch": pa.Array, "return": pa.Array}
-    return F.arrow_udf(score, T.DoubleType())(vector)
+    # Declared non-deterministic so that a filter on the score does not make Catalyst run it twice.
+    return F.arrow_udf(score, T.DoubleType()).asNondeterministic()
 
 
-def distance_to(vector: Column, query: Sequence[float]) -> Column:
-    """Euclidean distance to ``query``; infinite for null or differently sized vectors."""
-    q = [float(x) for x in query]
-
-    def score(batch):
-        return _scores(batch, q, "euclidean")
+def cosine_to(vector: Column, query: Sequence[float]) -> Column:
+    """Cosine to ``query``; 0 for null, differently sized or zero vectors.  Runs on Arrow batches."""
+    return _scorer(query, "cosine")(vector)
 
-    import pyarrow as pa
 
-    score.__annotations__ = {"batch": pa.Array, "return": pa.Array}
-    return F.arrow_udf(score, T.DoubleType())(vector)
+def distance_to(vector: Column, query: Sequence[float]) -> Column:
+    """Euclidean distance to ``query``; infinite for null or differently sized vectors."""
+    return _scorer(query, "euclidean")(vector)
 
 
 def lookup_entry(vectors: DataFrame, entry_id: str) -> tuple[list[float] | None, str | None]:

@@ -99,7 +99,20 @@ def _scored_entities(store: MediaStore, ctx: QueryContext, s: RetrievalSettings)
     )
 
 
-def text_leg(store: MediaStore, ctx: QueryContext, s: RetrievalSettings) -> DataFrame:
+def _named_rows(named: DataFrame, roles: tuple[str, ...]) -> DataFrame:
+    """Result rows of named entities for the text leg, the entity leg, or both from one pass."""
+    label = {"text": "Entity match: ", "entity": "Entity: "}
+    shapes = [
+        F.struct(*_result(
+            {"text": 1, "entity": 3}[role], "entity", F.col("entity_id"), None, None, None, F.col("score"),
+            F.concat(F.lit(label[role]), "name", F.lit(" ("), "entity_type", F.lit(")")), F.col("description"), role,
+        ))
+        for role in roles
+    ]
+    return named.select(F.inline(F.array(*shapes)))
+
+
+def text_leg(store: MediaStore, ctx: QueryContext, s: RetrievalSettings, with_entities: bool = True) -> DataFrame:
     """Captions, transcripts and entity names that hold the query."""
 
     def scored(rows: DataFrame, column: str) -> DataFrame:
@@ -119,12 +132,8 @@ def text_leg(store: MediaStore, ctx: QueryContext, s: RetrievalSettings) -> Data
         1, "audio_segment", F.col("segment_id"), F.col("video_id"), F.col("start_time"), F.col("end_time"), F.col("score"),
         quote("Transcript match: ", "transcript"), F.col("transcript"), "text",
     )))
-    if ctx.may_name_entities:
-        e = _scored_entities(store, ctx, s)
-        label = F.concat(F.lit("Entity match: "), "name", F.lit(" ("), "entity_type", F.lit(")"))
-        out = out.unionByName(e.select(*_result(
-            1, "entity", F.col("entity_id"), None, None, None, F.col("score"), label, F.col("description"), "text"
-        )))
+    if ctx.may_name_entities and with_entities:
+        out = out.unionByName(_named_rows(_scored_entities(store, ctx, s), ("text",)))
     return out
 
 
@@ -142,25 +151,22 @@ def visual_leg(store: MediaStore, ctx: QueryContext, s: RetrievalSettings, query
     ))
 
 
-def entity_leg(store: MediaStore, ctx: QueryContext, s: RetrievalSettings, query_vector, top_related: int = 3) -> DataFrame:
+def entity_leg(
+    store: MediaStore, ctx: QueryContext, s: RetrievalSettings, query_vector, top_related: int = 3,
+    roles: tuple[str, ...] = ("entity",),
+) -> DataFrame:
     """Named entities, their strongest relations, and entity vectors near the query."""
     named = _scored_entities(store, ctx, s)
-    out = named.select(*_result(
-        3, "entity", F.col("entity_id"), None, None, None, F.col("score"),
-        F.concat(F.lit("Entity: "), "name", F.lit(" ("), "entity_type", F.lit(")")), F.col("description"), "entity",
-    ))
-    near = gs.related_entities(store.relations, store.entities, named, top_related)
+    out = _named_rows(named, roles)
     parents = named.select("entity_id", F.col("score").alias("parent_score"), F.col("name").alias("parent"))
-    others = store.entities.select(F.col("entity_id").alias("other_id"), F.col("name").alias("other"), "description")
     related = (
-        near.join(parents, "entity_id")
+        gs.related_entities(store.relations, store.entities, parents, top_related)
         .withColumn("score", F.col("parent_score") * F.col("strength") * 0.8)
         .filter(F.col("score") >= s.similarity_threshold)
-        .join(others, "other_id")
     )
     out = out.unionByName(related.select(*_result(
         3, "related_entity", F.col("other_id"), None, None, None, F.col("score"),
-        F.concat(F.lit("Related to "), "parent", F.lit(": "), "other"), F.col("description"), "entity",
+        F.concat(F.lit("Related to "), "parent", F.lit(": "), "other_name"), F.col("other_description"), "entity",
     )))
     if ctx.may_name_entities and query_vector is not None:
         mentioned = gs.mentioned_entities(store.entities, store.aliases, ctx.processed)
@@ -176,11 +182,12 @@ def entity_leg(store: MediaStore, ctx: QueryContext, s: RetrievalSettings, query
 
 
 def hybrid_rows(store: MediaStore, ctx: QueryContext, s: RetrievalSettings, query_vector) -> DataFrame:
-    """The three legs one under the other, before merging."""
-    out = text_leg(store, ctx, s)
+    """The three legs one under the other, before merging; named entities are read once for two legs."""
+    out = text_leg(store, ctx, s, with_entities=False)
     if query_vector is not None:
         out = out.unionByName(visual_leg(store, ctx, s, query_vector))
-    return out.unionByName(entity_leg(store, ctx, s, query_vector))
+    roles = ("text", "entity") if ctx.may_name_entities else ("entity",)
+    return out.unionByName(entity_leg(store, ctx, s, query_vector, roles=roles))
 
 
 def candidates(
