@@ -1 +1,576 @@
-"""Placeholder."""
+"""Knowledge-graph queries: filters, merging, analytics, extraction and export."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reelgraph.functions import ids
+from reelgraph.operators import graph_algorithms as ga, graph_search as gs, resolution as rs
+from reelgraph.sources import driver_tables as dt
+from reelgraph.workload.registry import query
+
+
+@query(
+    "entity_query", "FLT2 FLT4",
+    sql="""SELECT entity_id, name, confidence FROM entities
+           WHERE entity_type = 'OBJECT' AND contains(lower(name), 'red') AND confidence >= 0.5
+             AND entity_id IN (SELECT entity_id FROM entity_videos WHERE video_id = 'v40')""",
+    views="entities entity_videos",
+)
+def entity_query(spark, sf_dir):
+    rows = gs.query_entities(dt.entities(spark, sf_dir), dt.entity_videos(spark, sf_dir), "OBJECT", "RED", "v40", 0.5)
+    return rows.orderBy(F.desc("confidence"), "entity_id").select("entity_id", "name", "confidence")
+
+
+@query(
+    "relation_query", "FLT3 FLT5",
+    sql="""SELECT relation_id, source_entity, target_entity, confidence FROM relations
+           WHERE relation_type = 'CONTAINS' AND source_entity = 'S7' AND confidence >= 0.95""",
+    views="relations",
+)
+def relation_query(spark, sf_dir):
+    rows = gs.query_relations(dt.relations(spark, sf_dir), "CONTAINS", "S7", None, 0.95)
+    return rows.select("relation_id", "source_entity", "target_entity", "confidence")
+
+
+@query(
+    "graph_query", "FLT7",
+    sql="""SELECT 'entity' AS kind, entity_id AS item_id, entity_type AS type, confidence FROM entities
+             WHERE entity_type = 'PERSON' AND entity_id IN (SELECT entity_id FROM entity_videos WHERE video_id = 'v3')
+           UNION ALL SELECT 'relation', relation_id, relation_type, confidence FROM relations WHERE relation_type = 'LOCATED_IN'""",
+    views="entities entity_videos relations",
+)
+def graph_query(spark, sf_dir):
+    return gs.graph_query(
+        dt.entities(spark, sf_dir), dt.relations(spark, sf_dir), dt.entity_videos(spark, sf_dir), "PERSON", "LOCATED_IN", "v3"
+    )
+
+
+@query(
+    "find_entity_by_name", "FLT6",
+    sql="""SELECT entity_id, name FROM entities WHERE lower(name) = 'red widget'
+             OR entity_id IN (SELECT entity_id FROM aliases WHERE lower(alias) = 'red widget')
+           ORDER BY entity_id LIMIT 1""",
+    views="entities aliases",
+)
+def find_entity_by_name(spark, sf_dir):
+    return gs.find_by_name(dt.entities(spark, sf_dir), dt.aliases(spark, sf_dir), "Red Widget").select("entity_id", "name")
+
+
+@query(
+    "find_entity_by_alias", "FLT6",
+    sql="""SELECT entity_id, name FROM entities WHERE lower(name) = 'country 7'
+             OR entity_id IN (SELECT entity_id FROM aliases WHERE lower(alias) = 'country 7') ORDER BY entity_id LIMIT 1""",
+    views="entities aliases",
+)
+def find_entity_by_alias(spark, sf_dir):
+    return gs.find_by_name(dt.entities(spark, sf_dir), dt.aliases(spark, sf_dir), "COUNTRY 7").select("entity_id", "name")
+
+
+@query(
+    "query_entity_mentions", "JOI13",
+    sql="""SELECT DISTINCT name FROM entities e WHERE contains(lower(name), 'widget') OR contains(lower(name), 'country')
+             OR EXISTS (SELECT 1 FROM aliases a WHERE a.entity_id = e.entity_id
+                        AND (contains(lower(alias), 'widget') OR contains(lower(alias), 'country')))""",
+    views="entities aliases",
+)
+def query_entity_mentions(spark, sf_dir):
+    return gs.mentioned_entities(dt.entities(spark, sf_dir), dt.aliases(spark, sf_dir), "a Widget in country")
+
+
+@query(
+    "related_entities", "JOI10",
+    sql="""WITH nb AS (SELECT source_entity AS e, target_entity AS o, relation_id, confidence AS c FROM relations
+                       UNION ALL SELECT target_entity, source_entity, relation_id, confidence FROM relations
+                         WHERE source_entity <> target_entity)
+           SELECT o AS other_id, n.name AS other_name, c AS strength FROM nb JOIN entities n ON n.entity_id = o WHERE e = 'S7'
+           ORDER BY c DESC, o, relation_id LIMIT 10""",
+    views="relations entities",
+)
+def related_entities(spark, sf_dir):
+    e = dt.entities(spark, sf_dir)
+    rows = gs.related_entities(dt.relations(spark, sf_dir), e, e.filter(F.col("entity_id") == "S7").select("entity_id"), 10)
+    return rows.select("other_id", "other_name", "strength")
+
+
+@query(
+    "related_entities_all", "JOI10",
+    sql="""WITH nb AS (SELECT source_entity AS e, target_entity AS o, relation_id, confidence AS c FROM relations
+                       UNION ALL SELECT target_entity, source_entity, relation_id, confidence FROM relations
+                         WHERE source_entity <> target_entity),
+                r AS (SELECT nb.*, row_number() OVER (PARTITION BY e ORDER BY c DESC, o, relation_id) AS place
+                      FROM nb JOIN entities n ON n.entity_id = o)
+           SELECT e AS entity_id, o AS other_id, c AS strength, place FROM r WHERE place <= 10""",
+    views="relations entities",
+)
+def related_entities_all(spark, sf_dir):
+    """The ten strongest relations of every entity."""
+    e = dt.entities(spark, sf_dir)
+    rows = gs.related_entities(dt.relations(spark, sf_dir), e, e.select("entity_id"), 10)
+    return rows.select("entity_id", "other_id", "strength", F.col("place").cast("bigint").alias("place"))
+
+
+@query(
+    "outgoing_relations", "JOI11",
+    sql="""SELECT e.entity_id, e.name, t.name AS target_name, r.relation_type, r.confidence AS strength
+           FROM entities e LEFT JOIN (relations r JOIN entities t ON t.entity_id = r.target_entity) ON r.source_entity = e.entity_id
+           WHERE e.entity_type IN ('LOCATION', 'PERSON')""",
+    views="entities relations",
+)
+def outgoing_relations(spark, sf_dir):
+    e = dt.entities(spark, sf_dir)
+    rows = gs.outgoing(dt.relations(spark, sf_dir), e, e.filter(F.col("entity_type").isin("LOCATION", "PERSON")))
+    return rows.select("entity_id", "name", "target_name", "relation_type", "strength")
+
+
+@query(
+    "entity_segments", "JOI12",
+    sql="""WITH t AS (SELECT * FROM entities WHERE contains(lower(name), 'customer#000000007') ORDER BY entity_id LIMIT 1),
+                nb AS (SELECT target_entity AS o, relation_id, confidence AS c FROM relations SEMI JOIN t ON source_entity = t.entity_id
+                       UNION ALL SELECT source_entity, relation_id, confidence FROM relations SEMI JOIN t ON target_entity = t.entity_id),
+                rel AS (SELECT n.entity_id, n.name, n.confidence * c * 0.8 AS relevance FROM nb JOIN entities n ON n.entity_id = o
+                        ORDER BY c DESC, o, relation_id LIMIT 5),
+                who AS (SELECT 'entity_segment' AS result_type, entity_id, name, confidence AS relevance FROM t
+                        UNION ALL SELECT 'related_entity_segment', * FROM rel)
+           SELECT result_type, entity_id, video_id, round(start_time, 3) AS start_time, round(end_time, 3) AS end_time,
+                  round(relevance, 6) AS relevance
+           FROM who JOIN appearances USING (entity_id)
+           WHERE (entity_id, video_id) IN (SELECT (entity_id, video_id) FROM entity_videos)
+           ORDER BY who.relevance DESC, entity_id, video_id, appearances.start_time, appearances.end_time LIMIT 40""",
+    views="entities relations appearances entity_videos",
+)
+def entity_segments(spark, sf_dir):
+    rows = gs.entity_segments(
+        dt.entities(spark, sf_dir), dt.entity_videos(spark, sf_dir), dt.appearances(spark, sf_dir),
+        dt.relations(spark, sf_dir), "Customer#000000007", max_results=40,
+    )
+    return rows.select(
+        "result_type", "entity_id", "video_id", F.round("start_time", 3).alias("start_time"),
+        F.round("end_time", 3).alias("end_time"), F.round("relevance", 6).alias("relevance"),
+    )
+
+
+@query(
+    "entity_timeline", "WIN10 SCA4",
+    sql="""SELECT video_id, round(start_time, 3) AS start_time, round(end_time - start_time, 3) AS duration,
+             printf('%02d:%02d:%06.3f', floor(start_time / 3600)::BIGINT, floor((start_time % 3600) / 60)::BIGINT, start_time % 60) AS start_stamp
+           FROM appearances WHERE entity_id = 'C7'""",
+    views="appearances",
+)
+def entity_timeline(spark, sf_dir):
+    rows = ga.timeline(dt.appearances(spark, sf_dir), "C7")
+    return rows.select(
+        "video_id", F.round("start_time", 3).alias("start_time"), F.round("duration", 3).alias("duration"), "start_stamp"
+    )
+
+
+@query(
+    "co_occurrence", "JOI6",
+    sql="""SELECT o.entity_id, count(*) AS overlaps,
+             round(sum(least(o.end_time, t.end_time) - greatest(o.start_time, t.start_time)), 3) AS total_overlap,
+             round(min(least(abs(o.start_time - t.start_time), abs(o.end_time - t.end_time))), 3) AS min_time_difference
+           FROM appearances t JOIN appearances o USING (video_id)
+           WHERE t.entity_id = 'C7' AND o.entity_id <> 'C7'
+             AND least(abs(o.start_time - t.start_time), abs(o.end_time - t.end_time)) <= 60
+             AND least(o.end_time, t.end_time) > greatest(o.start_time, t.start_time)
+           GROUP BY o.entity_id""",
+    views="appearances",
+)
+def co_occurrence(spark, sf_dir):
+    rows = ga.co_occurrences(dt.appearances(spark, sf_dir), "C7", 60.0)
+    return rows.select(
+        "entity_id", "overlaps", F.round("total_overlap", 3).alias("total_overlap"),
+        F.round("min_time_difference", 3).alias("min_time_difference"),
+    )
+
+
+def mentions(spark, sf_dir):
+    """Every entity as a mention in its own video; parts share 64 names."""
+    own = dt.entity_videos(spark, sf_dir).filter(F.col("video_id").startswith("v"))
+    return dt.entities(spark, sf_dir).join(own, "entity_id").withColumn("seq", F.col("entity_id"))
+
+
+MENTIONS = "m AS (SELECT e.*, v.video_id FROM entities e JOIN entity_videos v USING (entity_id) WHERE v.video_id LIKE 'v%')"
+
+
+@query(
+    "entity_group_merge", "AGG9",
+    sql=f"""WITH {MENTIONS}
+            SELECT entity_type, lower(name) AS name_key, min(entity_id) AS entity_id, count(*) AS mentions,
+                   round(avg(confidence), 6) AS confidence FROM m GROUP BY entity_type, lower(name)""",
+    views="entities entity_videos",
+)
+def entity_group_merge(spark, sf_dir):
+    rows = rs.merge_mentions(mentions(spark, sf_dir))
+    return rows.select("entity_type", "name_key", "entity_id", "mentions", F.round("confidence", 6).alias("confidence"))
+
+
+@query(
+    "entity_group_children", "AGG9 SCA16",
+    sql=f"""WITH {MENTIONS}
+            SELECT DISTINCT 'alias' AS kind, entity_type, lower(name) AS name_key, name AS value
+              FROM (SELECT *, count(*) OVER (PARTITION BY entity_type, lower(name)) AS n FROM m) WHERE n > 1
+            UNION ALL SELECT DISTINCT 'video', entity_type, lower(name), video_id FROM m
+            UNION ALL SELECT 'description ' || entity_id, entity_type, lower(name), description FROM m WHERE description <> ''""",
+    views="entities entity_videos",
+)
+def entity_group_children(spark, sf_dir):
+    """Aliases, videos and descriptions of the merged entities, one row per element."""
+    m = mentions(spark, sf_dir)
+
+    def rows(df, kind, value):
+        return df.select(kind.alias("kind"), "entity_type", "name_key", F.col(value).alias("value"))
+
+    d = rs.mention_descriptions(m)
+    return (
+        rows(rs.mention_aliases(m), F.lit("alias"), "alias")
+        .unionByName(rows(rs.mention_children(m, "video_id"), F.lit("video"), "video_id"))
+        .unionByName(rows(d, F.concat(F.lit("description "), "seq"), "description"))
+    )
+
+
+@query(
+    "relation_group_merge", "AGG10",
+    sql="""SELECT 'S' || l_suppkey AS source_entity, 'CONTAINS' AS relation_type, 'P' || l_partkey AS target_entity,
+             substr(md5('S' || l_suppkey || '_CONTAINS_P' || l_partkey), 1, 16) AS relation_id,
+             round(avg(1 - l_discount), 6) AS confidence, count(*) AS mentions
+           FROM lineitem GROUP BY l_suppkey, l_partkey""",
+)
+def relation_group_merge(spark, sf_dir):
+    s, t, k = F.concat(F.lit("S"), "l_suppkey"), F.concat(F.lit("P"), "l_partkey"), F.lit("CONTAINS")
+    rows = dt.table(spark, sf_dir, "lineitem").select(
+        s.alias("source_entity"), k.alias("relation_type"), t.alias("target_entity"),
+        ids.relation_id(s, t, k).alias("relation_id"), (1 - F.col("l_discount")).alias("confidence"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+    )
+    return rs.merge_relations(rows).withColumn("confidence", F.round("confidence", 6))
+
+
+def part_versions(spark, sf_dir):
+    """Each part as one version per ship month; its source chunks are that month's suppliers."""
+    rows = dt.table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("P"), "l_partkey").alias("entity_id"), (1 - F.col("l_discount")).alias("c"),
+        ((F.year("l_shipdate") - 1990) * 12 + F.month("l_shipdate")).alias("seq"), F.col("l_suppkey").alias("chunk_id"),
+        "l_returnflag",
+    )
+    versions = rows.groupBy("entity_id", "seq").agg(
+        F.round(F.avg("c"), 6).alias("confidence"), F.min("l_returnflag").alias("description")
+    )
+    return versions, rows.select("entity_id", "seq", "chunk_id")
+
+
+VERSIONS = """
+    r AS (SELECT 'P' || l_partkey AS entity_id, 1 - l_discount AS c, (year(l_shipdate) - 1990) * 12 + month(l_shipdate) AS seq,
+                 l_suppkey AS chunk_id, l_returnflag FROM lineitem),
+    v AS (SELECT entity_id, seq, round(avg(c), 6) AS confidence, count(DISTINCT chunk_id) AS n, min(l_returnflag) AS description
+          FROM r GROUP BY ALL)"""
+
+
+@query(
+    "entity_fold_merge", "AGG11 AGG13 AGG14",
+    sql=f"""WITH {VERSIONS},
+      f AS (SELECT entity_id, seq, count(*) AS fresh FROM (SELECT entity_id, chunk_id, min(seq) AS seq FROM r GROUP BY ALL) GROUP BY ALL),
+      u AS (SELECT v.*, sum(coalesce(fresh, 0)) OVER (PARTITION BY v.entity_id ORDER BY v.seq) AS u,
+                   row_number() OVER (PARTITION BY v.entity_id ORDER BY v.seq) AS k FROM v LEFT JOIN f USING (entity_id, seq)),
+      s AS (SELECT entity_id, list(struct_pack(a := CASE WHEN k = 1 THEN 0.0 ELSE (u - n) / u::DOUBLE END::DOUBLE,
+                     b := CASE WHEN k = 1 THEN confidence ELSE confidence * n / u::DOUBLE END::DOUBLE) ORDER BY seq) AS l FROM u GROUP BY 1)
+      SELECT entity_id, len(l) AS versions,
+             round(list_reduce(l, lambda x, y: struct_pack(a := x.a * y.a, b := y.a * x.b + y.b)).b, 6) AS confidence FROM s""",
+)
+def entity_fold_merge(spark, sf_dir):
+    versions, chunks = part_versions(spark, sf_dir)
+    merged = rs.fold_confidence(versions, chunks)
+    counts = versions.groupBy("entity_id").agg(F.count("*").alias("versions"))
+    return merged.join(counts, "entity_id").select("entity_id", "versions", F.round("confidence", 6).alias("confidence"))
+
+
+@query(
+    "entity_fold_descriptions", "AGG11 SCA16",
+    sql=f"""WITH {VERSIONS},
+      o AS (SELECT entity_id, seq, description, first_value(description) OVER (PARTITION BY entity_id ORDER BY seq) AS d0 FROM v),
+      k AS (SELECT *, bool_or(description <> d0) OVER (PARTITION BY entity_id ORDER BY seq) AS turned,
+                   row_number() OVER (PARTITION BY entity_id ORDER BY seq) AS i FROM o)
+      SELECT entity_id, string_agg(description, ' | ' ORDER BY seq) AS merged FROM k WHERE i = 1 OR turned GROUP BY 1""",
+)
+def entity_fold_descriptions(spark, sf_dir):
+    """The kept descriptions; joined here because a part has at most one per ship month."""
+    versions, _ = part_versions(spark, sf_dir)
+    kept = rs.fold_descriptions(versions)
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "description")))
+    return kept.groupBy("entity_id").agg(ordered.alias("d")).select(
+        "entity_id", F.array_join(F.transform("d", lambda x: x["description"]), " | ").alias("merged")
+    )
+
+
+@query(
+    "relation_fold_merge", "AGG12 AGG14",
+    sql="""WITH v AS (SELECT 'S' || l_suppkey AS s, 'P' || l_partkey AS t, year(l_shipdate) AS seq, round(1 - avg(l_discount), 6) AS c
+                      FROM lineitem GROUP BY ALL)
+           SELECT substr(md5(s || '_CONTAINS_' || t), 1, 16) AS relation_id, s AS source_entity, t AS target_entity,
+                  max(c) AS confidence, count(*) AS versions FROM v GROUP BY s, t""",
+)
+def relation_fold_merge(spark, sf_dir):
+    s, t, k = F.concat(F.lit("S"), "l_suppkey"), F.concat(F.lit("P"), "l_partkey"), F.lit("CONTAINS")
+    versions = dt.table(spark, sf_dir, "lineitem").groupBy(
+        s.alias("source_entity"), t.alias("target_entity"), F.year("l_shipdate").alias("seq")
+    ).agg(F.round(1 - F.avg("l_discount"), 6).alias("confidence")).select(
+        "*", k.alias("relation_type"), ids.relation_id(F.col("source_entity"), F.col("target_entity"), k).alias("relation_id")
+    )
+    return rs.fold_relations(versions).drop("relation_type")
+
+
+@query(
+    "graph_stats", "GR1 GR2",
+    sql="""WITH p AS (SELECT least(source_entity, target_entity) AS u, greatest(source_entity, target_entity) AS v,
+                        count(*) FILTER (source_entity <= target_entity) AS f, count(*) FILTER (source_entity > target_entity) AS b
+                      FROM relations GROUP BY ALL),
+                c AS (SELECT (SELECT sum(greatest(f, b)) FROM p)::BIGINT AS m,
+                        (SELECT count(*) FROM (SELECT entity_id FROM entities UNION SELECT source_entity FROM relations
+                                               UNION SELECT target_entity FROM relations)) AS n)
+           SELECT n AS vertices, m AS edges, round(2.0 * m / (n * (n - 1)), 9)::DOUBLE AS density, round(2.0 * m / n, 6)::DOUBLE AS mean_degree
+           FROM c""",
+    views="entities relations",
+)
+def graph_stats(spark, sf_dir):
+    rows = ga.degree_stats(dt.entities(spark, sf_dir), dt.relations(spark, sf_dir))
+    return rows.select("vertices", "edges", F.round("density", 9).alias("density"), F.round("mean_degree", 6).alias("mean_degree"))
+
+
+@query(
+    "connected_components", "GR2",
+    sql="""WITH RECURSIVE ed AS (SELECT source_entity AS a, target_entity AS b FROM relations WHERE relation_type <> 'CONTAINS'
+                                 UNION SELECT target_entity, source_entity FROM relations WHERE relation_type <> 'CONTAINS'),
+             cc AS (SELECT entity_id, entity_id AS component FROM entities
+                    UNION SELECT ed.b, cc.component FROM cc JOIN ed ON ed.a = cc.entity_id WHERE cc.component < ed.b)
+           SELECT entity_id, min(component) AS component FROM cc GROUP BY entity_id""",
+    views="entities relations",
+)
+def connected_components(spark, sf_dir):
+    """Components of the places graph: regions, nations and who is based in them; parts stay alone."""
+    r = dt.relations(spark, sf_dir).filter(F.col("relation_type") != "CONTAINS")
+    return ga.connected_components(dt.entities(spark, sf_dir).select("entity_id"), r)
+
+
+@query("component_stats", "GR2")
+def component_stats(spark, sf_dir):
+    """Component count and largest size of the whole graph."""
+    e, r = dt.entities(spark, sf_dir), dt.relations(spark, sf_dir)
+    return ga.component_stats(ga.connected_components(ga.vertices_of(e, r), r))
+
+
+PATHS = """
+    nb AS (SELECT source_entity AS a, target_entity AS b FROM relations UNION SELECT target_entity, source_entity FROM relations),
+    d1 AS (SELECT b AS entity_id, ['N7', b] AS path FROM nb WHERE a = 'N7' AND b <> 'N7'),
+    d2 AS (SELECT nb.b AS entity_id, min(list_append(d1.path, nb.b)) AS path FROM d1 JOIN nb ON nb.a = d1.entity_id
+           WHERE nb.b <> 'N7' AND nb.b NOT IN (SELECT entity_id FROM d1) GROUP BY nb.b)"""
+
+
+@query(
+    "neighborhood_2hop", "GR3",
+    sql=f"""WITH {PATHS}, x AS (SELECT entity_id, 1 AS d FROM d1 UNION ALL SELECT entity_id, 2 FROM d2)
+            SELECT 1::INT AS ring, entity_id, name FROM x JOIN entities USING (entity_id) WHERE d = 1
+            UNION ALL SELECT 2, entity_id, name FROM x JOIN entities USING (entity_id)""",
+    views="relations entities",
+)
+def neighborhood_2hop(spark, sf_dir):
+    return ga.neighbourhood(dt.entities(spark, sf_dir), dt.relations(spark, sf_dir), "N7", 2)
+
+
+@query(
+    "shortest_paths", "GR4",
+    sql=f"""WITH {PATHS} SELECT entity_id, 1 AS path_length, array_to_string(path, '>') AS path FROM d1
+            UNION ALL SELECT entity_id, 2, array_to_string(path, '>') FROM d2""",
+    views="relations",
+)
+def shortest_paths(spark, sf_dir):
+    return ga.shortest_paths(dt.entities(spark, sf_dir), dt.relations(spark, sf_dir), "N7", 2)
+
+
+@query(
+    "graph_cleanup", "GR8",
+    sql="""SELECT 'entity' AS kind, entity_id AS item_id FROM entities WHERE confidence >= 0.4
+           UNION ALL SELECT 'relation', relation_id FROM relations r WHERE confidence >= 0.4
+             AND NOT EXISTS (SELECT 1 FROM entities e WHERE e.confidence < 0.4 AND e.entity_id IN (r.source_entity, r.target_entity))""",
+    views="entities relations",
+)
+def graph_cleanup(spark, sf_dir):
+    e, r = ga.clean_up(dt.entities(spark, sf_dir), dt.relations(spark, sf_dir), 0.4)
+    return e.select(F.lit("entity").alias("kind"), F.col("entity_id").alias("item_id")).unionByName(
+        r.select(F.lit("relation").alias("kind"), F.col("relation_id").alias("item_id"))
+    )
+
+
+@query(
+    "graph_summary", "AGG15",
+    sql="""SELECT 'entities' AS metric, count(*)::DOUBLE AS value FROM entities
+           UNION ALL SELECT 'mean_entity_confidence', round(avg(confidence), 6) FROM entities
+           UNION ALL SELECT 'relations', count(*) FROM relations
+           UNION ALL SELECT 'mean_relation_confidence', round(avg(confidence), 6) FROM relations
+           UNION ALL SELECT 'earliest', round(min(least(start_time, end_time)), 3) FROM appearances
+           UNION ALL SELECT 'latest', round(max(greatest(start_time, end_time)), 3) FROM appearances
+           UNION ALL SELECT 'total_duration', round(max(greatest(start_time, end_time)) - min(least(start_time, end_time)), 3) FROM appearances""",
+    views="entities relations appearances",
+)
+def graph_summary(spark, sf_dir):
+    rows = ga.summary_metrics(dt.entities(spark, sf_dir), dt.relations(spark, sf_dir), dt.appearances(spark, sf_dir))
+    spans = F.col("metric").isin("earliest", "latest", "total_duration")
+    return rows.select("metric", F.when(spans, F.round("value", 3)).otherwise(F.round("value", 6)).alias("value"))
+
+
+@query(
+    "graph_top_entities", "AGG15",
+    sql="""SELECT entity_id, name, entity_type, e.confidence,
+             (SELECT count(DISTINCT video_id) FROM entity_videos v WHERE v.entity_id = e.entity_id) AS video_count, description
+           FROM (SELECT * FROM entities ORDER BY confidence DESC, entity_id LIMIT 10) e""",
+    views="entities entity_videos",
+)
+def graph_top_entities(spark, sf_dir):
+    return ga.top_entities(dt.entities(spark, sf_dir), dt.entity_videos(spark, sf_dir))
+
+
+@query(
+    "graph_top_relations", "AGG15",
+    sql="""SELECT relation_id, coalesce(s.name, 'Unknown') AS source, relation_type, coalesce(t.name, 'Unknown') AS target,
+             r.confidence, r.description
+           FROM (SELECT * FROM relations ORDER BY confidence DESC, relation_id LIMIT 10) r
+           LEFT JOIN entities s ON s.entity_id = source_entity LEFT JOIN entities t ON t.entity_id = target_entity""",
+    views="entities relations",
+)
+def graph_top_relations(spark, sf_dir):
+    return ga.top_relations(dt.entities(spark, sf_dir), dt.relations(spark, sf_dir))
+
+
+@query(
+    "video_coverage", "AGG15 SRC7",
+    sql="SELECT video_id, count(DISTINCT entity_id) AS entities FROM entity_videos GROUP BY video_id",
+    views="entity_videos",
+)
+def video_coverage(spark, sf_dir):
+    return rs.video_index(dt.entity_videos(spark, sf_dir)).groupBy("video_id").agg(F.count("*").alias("entities"))
+
+
+def part_products(spark, sf_dir):
+    """Parts merged by name into products: entities, aliases and videos in the shape linking needs."""
+    p = dt.table(spark, sf_dir, "part").withColumn("name_key", F.lower("p_name"))
+    kinds = p.select("name_key", "p_type").distinct()  # six types at most
+    described = kinds.groupBy("name_key").agg(F.array_join(F.array_sort(F.collect_list("p_type")), " ").alias("description"))
+    heads = p.groupBy("name_key").agg(F.min(F.concat(F.lit("P"), "p_partkey")).alias("entity_id"), F.min("p_name").alias("name"))
+    e = heads.join(described, "name_key").withColumn("entity_type", F.lit("OBJECT"))
+    own = e.select("name_key", "entity_id")
+    aliases = p.join(own, "name_key").select("entity_id", F.concat_ws(" ", "p_brand", "p_name").alias("alias")).distinct()
+    videos = p.join(own, "name_key").select("entity_id", F.concat(F.lit("v"), "p_size").alias("video_id")).distinct()
+    return e.drop("name_key"), aliases, videos
+
+
+PRODUCTS = """
+    p AS (SELECT *, lower(p_name) AS k FROM part),
+    d AS (SELECT k, min('P' || p_partkey) AS id, min(p_name) AS name, list_sort(list(DISTINCT lower(p_type))) AS t,
+                 list(DISTINCT lower(p_brand || ' ' || p_name)) AS al, list_sort(list(DISTINCT p_size)) AS v FROM p GROUP BY k),
+    a1 AS (SELECT id, unnest(al) AS a FROM d),
+    x AS (SELECT a.id AS primary, b.id AS secondary,
+            CASE WHEN a.k = b.k THEN 1.0 ELSE 1 - levenshtein(a.k, b.k) / greatest(length(a.k), length(b.k))::DOUBLE END AS n,
+            len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE AS ds
+          FROM d a JOIN d b ON a.id < b.id AND a.v <> b.v),
+    y AS (SELECT x.primary, x.secondary, n, ds,
+            max(CASE WHEN u.a = w.a THEN 1.0 ELSE 1 - levenshtein(u.a, w.a) / greatest(length(u.a), length(w.a))::DOUBLE END) AS al
+          FROM x JOIN a1 u ON u.id = x.primary JOIN a1 w ON w.id = x.secondary GROUP BY ALL)"""
+
+
+@query(
+    "cross_video_candidates", "JOI7 SCA9",
+    sql=f"""WITH {PRODUCTS} SELECT "primary", secondary, round(0.4 * n + 0.2 * al + 0.4 * ds, 6) AS similarity FROM y
+            WHERE 0.4 * n + 0.2 * al + 0.4 * ds >= 0.8 - 1e-12""".replace("AS primary", 'AS "primary"').replace("x.primary", 'x."primary"'),
+)
+def cross_video_candidates(spark, sf_dir):
+    from reelgraph.operators.linking import link_candidates
+
+    rows = link_candidates(*part_products(spark, sf_dir))
+    return rows.select("primary", "secondary", F.round("similarity", 6).alias("similarity"))
+
+
+@query("cross_video_link", "JOI7 GR7")
+def cross_video_link(spark, sf_dir):
+    """The merges a greedy pass makes among the products."""
+    from reelgraph.operators.linking import greedy_merges, link_candidates
+
+    merges = greedy_merges(link_candidates(*part_products(spark, sf_dir)))
+    return merges.select("primary", "secondary", F.round("similarity", 6).alias("similarity"))
+
+
+def responses(spark, sf_dir):
+    """A model-style response per part; every seventh is broken and half of them are fenced."""
+    k, name, brand, kind = F.col("p_partkey"), F.col("p_name"), F.col("p_brand"), F.col("p_type")
+    body = F.format_string(
+        '{"entities":[{"name":"%s","type":"object","description":"%s","confidence":0.9},'
+        '{"name":" %s ","type":"CONCEPT"},{"name":"x","type":"BOGUS"},{"name":"  ","type":"OBJECT"},{"name":"%s"}],'
+        '"relations":[{"source":"%s","target":"%s","type":"part_of","confidence":0.8},'
+        '{"source":"%s","target":"nowhere","type":"USES"},{"source":"%s","target":"%s"}]}',
+        name, brand, brand, kind, name, brand, name, brand, kind,
+    )
+    text = (
+        F.when(k % 7 == 3, F.lit("invalid json data"))
+        .when(k % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    )
+    return dt.table(spark, sf_dir, "part").select(
+        F.concat(F.lit("c"), k).alias("chunk_id"), F.concat(F.lit("v"), "p_size").alias("video_id"),
+        (k * 30.0).alias("start_time"), (k * 30.0 + 30.0).alias("end_time"), text.alias("response"),
+    )
+
+
+@query(
+    "extraction_parse", "JOI14 GR6",
+    sql="""WITH g AS (SELECT * FROM part WHERE p_partkey % 7 <> 3),
+      e AS (SELECT 'c' || p_partkey AS chunk_id, p_name AS name, 'OBJECT' AS type, p_brand AS description, 0.9::DOUBLE AS confidence FROM g
+            UNION ALL SELECT 'c' || p_partkey, p_brand, 'CONCEPT', '', 0.7 FROM g
+            UNION ALL SELECT 'c' || p_partkey, p_type, 'OBJECT', '', 0.7 FROM g),
+      i AS (SELECT *, substr(md5(type || '_' || regexp_replace(lower(name), '[^a-z0-9 _.,!?-]', '', 'g')), 1, 16) AS id FROM e),
+      r AS (SELECT 'c' || p_partkey AS chunk_id, p_name AS s, p_brand AS t, 'PART_OF' AS type, 0.8::DOUBLE AS confidence FROM g
+            UNION ALL SELECT 'c' || p_partkey, p_brand, p_type, 'ASSOCIATED_WITH', 0.7 FROM g)
+      SELECT 'entity' AS kind, chunk_id, id AS item_id, name AS label, type, confidence FROM i
+      UNION ALL SELECT 'relation', r.chunk_id, substr(md5(a.id || '_' || r.type || '_' || b.id), 1, 16), a.id || '>' || b.id, r.type, r.confidence
+      FROM r JOIN i a ON a.chunk_id = r.chunk_id AND a.name = r.s JOIN i b ON b.chunk_id = r.chunk_id AND b.name = r.t""",
+)
+def extraction_parse(spark, sf_dir):
+    from reelgraph.operators import extraction as ex
+
+    parsed = ex.parse_responses(responses(spark, sf_dir))
+    e = ex.entity_mentions(parsed).select(
+        F.lit("entity").alias("kind"), "chunk_id", F.col("entity_id").alias("item_id"), F.col("name").alias("label"),
+        F.col("entity_type").alias("type"), "confidence",
+    )
+    r = ex.relation_mentions(parsed).select(
+        F.lit("relation").alias("kind"), "chunk_id", F.col("relation_id").alias("item_id"),
+        F.concat_ws(">", "source_entity", "target_entity").alias("label"), F.col("relation_type").alias("type"), "confidence",
+    )
+    return e.unionByName(r)
+
+
+@query("graph_build", "GR5 GR6 AGG9 AGG10 AGG13 AGG14")
+def graph_build(spark, sf_dir):
+    """Entities of the graph built from all responses, merged video after video."""
+    from reelgraph.plans.knowledge import graph_from_responses
+
+    g = graph_from_responses(responses(spark, sf_dir))
+    videos = g.entity_videos.groupBy("entity_id").agg(F.count("*").alias("videos"))
+    return g.entities.join(videos, "entity_id").select(
+        "entity_id", "name", "entity_type", F.round("confidence", 6).alias("confidence"), "videos"
+    )
+
+
+@query(
+    "cytoscape_export", "SRC11",
+    sql="""SELECT 1 AS section, entity_id AS id, name AS label, entity_type AS type, NULL AS source, NULL AS target, description, confidence,
+               (SELECT count(DISTINCT video_id) FROM entity_videos v WHERE v.entity_id = e.entity_id) AS video_count FROM entities e
+           UNION ALL SELECT 3, relation_id, relation_type, NULL, source_entity, target_entity, description, confidence, NULL FROM relations""",
+    views="entities relations entity_videos",
+)
+def cytoscape_export(spark, sf_dir):
+    """The exported elements, read back from their JSON."""
+    from reelgraph.sources.graph_export import cytoscape_elements
+
+    rows = cytoscape_elements(dt.entities(spark, sf_dir), dt.entity_videos(spark, sf_dir), dt.relations(spark, sf_dir))
+    shape = (
+        "data struct<id:string,label:string,type:string,source:string,target:string,description:string,"
+        "confidence:double,video_count:bigint>"
+    )
+    return rows.withColumn("e", F.from_json("line", shape)).select("section", "e.data.*")
