@@ -167,7 +167,8 @@ def appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def entity_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+def home_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one video each entity belongs to by its own row."""
     def shaped(name, prefix, key, video):
         return table(spark, sf_dir, name).select(_key(prefix, key).alias("entity_id"), _key("v", video).alias("video_id"))
 
@@ -179,7 +180,13 @@ def entity_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("part", "P", "p_partkey", "p_size"),
     ):
         out = out.unionByName(shaped(*args))
-    return out.unionByName(appearances(spark, sf_dir).select("entity_id", "video_id").distinct())
+    return out
+
+
+def entity_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Home videos plus the videos an entity appears in."""
+    seen = appearances(spark, sf_dir).select("entity_id", "video_id").distinct()
+    return home_videos(spark, sf_dir).unionByName(seen)
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,8 +186,7 @@ def co_occurrence(spark, sf_dir):
 
 def mentions(spark, sf_dir):
     """Every entity as a mention in its own video; parts share 64 names."""
-    own = dt.entity_videos(spark, sf_dir).filter(F.col("video_id").startswith("v"))
-    return dt.entities(spark, sf_dir).join(own, "entity_id").withColumn("seq", F.col("entity_id"))
+    return dt.entities(spark, sf_dir).join(dt.home_videos(spark, sf_dir), "entity_id").withColumn("seq", F.col("entity_id"))
 
 
 MENTIONS = "m AS (SELECT e.*, v.video_id FROM entities e JOIN entity_videos v USING (entity_id) WHERE v.video_id LIKE 'v%')"
