@@ -1,9 +1,7 @@
-"""Table schemas and the closed vocabularies of the data model."""
+"""Table schemas, as DDL, and the closed vocabularies of the data model."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # --- fixed values: closed vocabularies of the data model -------------------------------------
 ENTITY_TYPES = (
     "PERSON", "OBJECT", "LOCATION", "ACTION", "CONCEPT", "EVENT", "SCENE", "EMOTION", "TIME", "QUANTITY",
@@ -16,24 +14,24 @@ WORKER_STATUSES = ("available", "busy", "offline", "error")
 TASK_STATUSES = ("pending", "assigned", "processing", "completed", "failed", "cancelled")
 # ----------------------------------------------------------------------------------------------
 
-VIDEOS = T.StructType.fromDDL(
+VIDEOS = (
     "video_id string, video_path string, filename string, duration double, fps double, resolution string, "
     "size_bytes bigint, processing_time double, chunk_count int, frame_count int, created_at double, "
     "updated_at double, success boolean, error_message string"
 )
-CHUNKS = T.StructType.fromDDL(
+CHUNKS = (
     "chunk_id string, video_id string, start_time double, end_time double, frame_count int, "
     "unified_description string, has_audio boolean, created_at double"
 )
-FRAMES = T.StructType.fromDDL(
+FRAMES = (
     "frame_id string, chunk_id string, video_id string, timestamp double, frame_index int, caption string, "
     "confidence double, image_path string, created_at double"
 )
-AUDIO_SEGMENTS = T.StructType.fromDDL(
+AUDIO_SEGMENTS = (
     "segment_id string, chunk_id string, video_id string, start_time double, end_time double, "
     "transcript string, confidence double, audio_path string, created_at double"
 )
-VECTORS = T.StructType.fromDDL(
+VECTORS = (
     "entry_id string, vector array<float>, metadata map<string,string>, source_type string, "
     "source_id string, video_id string, timestamp double, created_at double"
 )
@@ -41,25 +39,25 @@ VECTORS = T.StructType.fromDDL(
 # A knowledge graph is kept as narrow tables.  Everything set-valued about an entity or relation
 # (aliases, source videos, source chunks, appearances, descriptions) is a child table with one row
 # per element: a very common entity then means many small rows, never one huge row.
-ENTITIES = T.StructType.fromDDL(
+ENTITIES = (
     "graph_id string, entity_id string, name string, entity_type string, description string, confidence double"
 )
-ALIASES = T.StructType.fromDDL("graph_id string, entity_id string, alias string")
-ENTITY_VIDEOS = T.StructType.fromDDL("graph_id string, entity_id string, video_id string")
-ENTITY_CHUNKS = T.StructType.fromDDL("graph_id string, entity_id string, chunk_id string")
-APPEARANCES = T.StructType.fromDDL(
+ALIASES = "graph_id string, entity_id string, alias string"
+ENTITY_VIDEOS = "graph_id string, entity_id string, video_id string"
+ENTITY_CHUNKS = "graph_id string, entity_id string, chunk_id string"
+APPEARANCES = (
     "graph_id string, entity_id string, video_id string, start_time double, end_time double"
 )
-RELATIONS = T.StructType.fromDDL(
+RELATIONS = (
     "graph_id string, relation_id string, source_entity string, target_entity string, relation_type string, "
     "description string, confidence double, start_time double, end_time double"
 )
-RELATION_VIDEOS = T.StructType.fromDDL("graph_id string, relation_id string, video_id string")
+RELATION_VIDEOS = "graph_id string, relation_id string, video_id string"
 
-MESSAGES = T.StructType.fromDDL(
+MESSAGES = (
     "conversation_id string, seq bigint, role string, content string, timestamp double, confidence double"
 )
-PROCESSED_VIDEO = T.StructType.fromDDL(
+PROCESSED_VIDEO = (
     "video_id string, video_path string, filename string, duration double, fps double, resolution string, "
     "size_bytes bigint, processing_time double, success boolean, error_message string, "
     "chunks array<struct<chunk_id:string, start_time:double, end_time:double, unified_description:string, "
