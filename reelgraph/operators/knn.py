@@ -150,7 +150,11 @@ def lsh_top_k(vectors: DataFrame, query: Sequence[float], k: int = 10, tables: i
 
     from reelgraph.functions.vectors import l2_normalize
 
-    unit = vectors.withColumn("unit", array_to_vector(l2_normalize(F.col("vector"))))
+    # Rows of another length are dropped; until then they carry a zero vector, because Catalyst may
+    # evaluate the hash before the filter.
+    fits = F.coalesce(F.size("vector") == len(query), F.lit(False))
+    normal = F.when(fits, l2_normalize(F.col("vector"))).otherwise(F.array_repeat(F.lit(0.0), len(query)))
+    unit = vectors.filter(fits).withColumn("unit", array_to_vector(normal))
     size = sum(x * x for x in query) ** 0.5 or 1.0
     key = Vectors.dense([x / size for x in query])
     model = BucketedRandomProjectionLSH(
