@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from reelgraph.functions.hof import bind
+
 
 def timestamp_to_seconds(text: Column) -> Column:
     """Seconds of ``H:M:S``, ``M:S`` or ``S``; anything else is 0."""
     parts = F.transform(F.split(text.cast("string"), ":"), lambda p: p.try_cast("double"))
 
-    def part(i: int) -> Column:
-        return F.get(parts, F.lit(i))
+    def value(p: Column) -> Column:
+        n = F.size(p)
+        first, second, third = (F.get(p, F.lit(i)) for i in range(3))
+        return (
+            F.when(n == 3, first * 3600 + second * 60 + third).when(n == 2, first * 60 + second).when(n == 1, first)
+        )
 
-    n = F.size(parts)
-    value = (
-        F.when(n == 3, part(0) * 3600 + part(1) * 60 + part(2)).when(n == 2, part(0) * 60 + part(1)).when(n == 1, part(0))
-    )
-    return F.coalesce(value, F.lit(0.0))
+    return F.coalesce(bind(parts, value), F.lit(0.0))
 
 
 def seconds_to_timestamp(seconds: Column, always_hours: bool = False) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reelgraph.functions import ids
+from reelgraph.functions.hof import bind
 from reelgraph.schema import ENTITY_TYPES, RELATION_TYPES
 
 RESPONSE = (
@@ -37,46 +38,58 @@ def parse_responses(responses: DataFrame, default_confidence: float = 0.7) -> Da
     of a name counting; relations with an unresolved end or an unknown type are dropped, a missing type
     is ASSOCIATED_WITH.
     """
-    raw = F.from_json(strip_fence(F.col("response")), RESPONSE)
-    empty_e = F.array().cast("array<struct<entity_id:string,name:string,entity_type:string,description:string,confidence:double>>")
-    entities = F.filter(
-        F.transform(
-            F.col("_raw.entities"),
+    def entities_of(raw: Column) -> Column:
+        shaped = F.transform(
+            raw["entities"],
             lambda e: F.struct(
-                ids.entity_id(F.trim(e["name"]), F.upper(F.coalesce(e["type"], F.lit("OBJECT")))).alias("entity_id"),
-                F.trim(e["name"]).alias("name"),
-                F.upper(F.coalesce(e["type"], F.lit("OBJECT"))).alias("entity_type"),
+                F.trim(e["name"]).alias("name"), F.upper(F.coalesce(e["type"], F.lit("OBJECT"))).alias("entity_type"),
                 F.coalesce(e["description"], F.lit("")).alias("description"),
                 _number(e["confidence"], default_confidence).alias("confidence"),
             ),
-        ),
-        lambda e: (F.coalesce(e["name"], F.lit("")) != "") & e["entity_type"].isin(*ENTITY_TYPES),
-    )
+        )
+        kept = F.filter(shaped, lambda e: (F.coalesce(e["name"], F.lit("")) != "") & e["entity_type"].isin(*ENTITY_TYPES))
+        return F.transform(
+            kept,
+            lambda e: F.struct(
+                ids.entity_id(e["name"], e["entity_type"]).alias("entity_id"), e["name"].alias("name"),
+                e["entity_type"].alias("entity_type"), e["description"].alias("description"), e["confidence"].alias("confidence"),
+            ),
+        )
 
-    def end(name: Column) -> Column:
-        named = F.filter(F.col("entities"), lambda e: e["name"] == F.trim(name))
-        return F.try_element_at(named, F.lit(-1))["entity_id"]
+    def relations_of(raw: Column, entities: Column) -> Column:
+        def end(name: Column) -> Column:
+            return F.try_element_at(F.filter(entities, lambda e: e["name"] == F.trim(name)), F.lit(-1))["entity_id"]
 
-    resolved = F.filter(
-        F.transform(
-            F.col("_raw.relations"),
+        shaped = F.transform(
+            raw["relations"],
             lambda r: F.struct(
                 end(r["source"]).alias("source_entity"), end(r["target"]).alias("target_entity"),
                 F.upper(F.coalesce(r["type"], F.lit("ASSOCIATED_WITH"))).alias("relation_type"),
                 F.coalesce(r["description"], F.lit("")).alias("description"),
                 _number(r["confidence"], default_confidence).alias("confidence"),
             ),
-        ),
-        lambda r: r["source_entity"].isNotNull() & r["target_entity"].isNotNull() & r["relation_type"].isin(*RELATION_TYPES),
+        )
+        return F.filter(
+            shaped,
+            lambda r: r["source_entity"].isNotNull() & r["target_entity"].isNotNull() & r["relation_type"].isin(*RELATION_TYPES),
+        )
+
+    no_entities = F.array().cast(
+        "array<struct<entity_id:string,name:string,entity_type:string,description:string,confidence:double>>"
     )
-    empty_r = F.array().cast(
+    no_relations = F.array().cast(
         "array<struct<source_entity:string,target_entity:string,relation_type:string,description:string,confidence:double>>"
     )
-    return (
-        responses.withColumn("_raw", raw)
-        .withColumn("entities", F.coalesce(entities, empty_e))
-        .withColumn("relations", F.coalesce(resolved, empty_r))
-        .drop("_raw", "response")
+    # Bound step by step, so that the JSON and the entity ids are worked out once per response.
+    parsed = bind(
+        F.from_json(strip_fence(F.col("response")), RESPONSE),
+        lambda raw: bind(
+            F.coalesce(entities_of(raw), no_entities),
+            lambda e: F.struct(e.alias("entities"), F.coalesce(relations_of(raw, e), no_relations).alias("relations")),
+        ),
+    )
+    return responses.withColumn("_p", parsed).select(
+        *[c for c in responses.columns if c != "response"], F.col("_p.entities").alias("entities"), F.col("_p.relations").alias("relations")
     )
 
 

@@ -61,7 +61,7 @@ def understand(
     keywords = text.extract_keywords(F.col("p"), 10)
     row = (
         spark.range(1).select(F.lit(query).alias("q")).select(clean.alias("p")).withColumn("k", keywords)
-        .select("p", "k", text.query_type(F.col("p"), F.size("k")).alias("t"),
+        .select("p", "k", text.query_type(F.col("p"), text.keyword_count(F.col("p"), 10)).alias("t"),
                 text.time_preference(F.col("p")).alias("time"), text.duration_preference(F.col("p")).alias("length"))
         .first()
     )

@@ -83,7 +83,7 @@ def _any(words, low="lower(text)"):
 def query_type(spark, sf_dir):
     t = F.col("text")
     return dt.table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", text.query_type(t, F.size(text.extract_keywords(t, 10))).alias("query_type")
+        "conv_id", "turn", text.query_type(t, text.keyword_count(t, 10)).alias("query_type")
     )
 
 
