@@ -350,7 +350,17 @@ def connected_components(spark, sf_dir):
     return ga.connected_components(dt.entities(spark, sf_dir).select("entity_id"), r)
 
 
-@query("component_stats", "GR2")
+@query(
+    "component_stats", "GR2",
+    sql="""WITH RECURSIVE nb AS (SELECT source_entity AS a, target_entity AS b FROM relations
+                                 UNION SELECT target_entity, source_entity FROM relations),
+             vx AS (SELECT entity_id AS v FROM entities UNION SELECT a FROM nb),
+             rc AS (SELECT min(v) AS v FROM vx WHERE v IN (SELECT a FROM nb) UNION SELECT nb.b FROM rc JOIN nb ON nb.a = rc.v),
+             un AS (SELECT v, v IN (SELECT a FROM nb) AS linked FROM vx WHERE v NOT IN (SELECT v FROM rc))
+           SELECT CASE WHEN (SELECT coalesce(bool_or(linked), false) FROM un) THEN NULL ELSE 1 + (SELECT count(*) FROM un) END AS components,
+                  (SELECT count(*) FROM rc) AS largest_component""",
+    views="entities relations",
+)
 def component_stats(spark, sf_dir):
     """Component count and largest size of the whole graph."""
     e, r = dt.entities(spark, sf_dir), dt.relations(spark, sf_dir)
@@ -487,7 +497,17 @@ def cross_video_candidates(spark, sf_dir):
     return rows.select("primary", "secondary", F.round("similarity", 6).alias("similarity"))
 
 
-@query("cross_video_link", "JOI7 GR7")
+@query(
+    "cross_video_link", "JOI7 GR7",
+    sql=f"""WITH RECURSIVE {PRODUCTS},
+      z AS (SELECT "primary" AS p, secondary AS s, 0.4 * n + 0.2 * al + 0.4 * ds AS sim FROM y WHERE 0.4 * n + 0.2 * al + 0.4 * ds >= 0.8 - 1e-12),
+      o AS (SELECT *, row_number() OVER (ORDER BY sim DESC, p, s) AS i FROM z),
+      g AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS dead, false AS done
+            UNION ALL SELECT o.i, CASE WHEN list_contains(dead, p) OR list_contains(dead, s) THEN dead ELSE list_append(dead, s) END,
+                             NOT (list_contains(dead, p) OR list_contains(dead, s)) FROM g JOIN o ON o.i = g.i + 1)
+      SELECT p AS "primary", s AS secondary, round(sim, 6) AS similarity FROM g JOIN o USING (i) WHERE done"""
+    .replace("AS primary", 'AS "primary"').replace("x.primary", 'x."primary"'),
+)
 def cross_video_link(spark, sf_dir):
     """The merges a greedy pass makes among the products."""
     from reelgraph.operators.linking import greedy_merges, link_candidates
@@ -544,7 +564,16 @@ def extraction_parse(spark, sf_dir):
     return e.unionByName(r)
 
 
-@query("graph_build", "GR5 GR6 AGG9 AGG10 AGG13 AGG14")
+@query(
+    "graph_build", "GR5 GR6 AGG9 AGG10 AGG13 AGG14",
+    sql="""WITH g AS (SELECT *, 'v' || p_size AS v FROM part WHERE p_partkey % 7 <> 3),
+      e AS (SELECT v, p_partkey AS c, p_name AS name, 'OBJECT' AS type, 0.9::DOUBLE AS confidence FROM g
+            UNION ALL SELECT v, p_partkey, p_brand, 'CONCEPT', 0.7 FROM g UNION ALL SELECT v, p_partkey, p_type, 'OBJECT', 0.7 FROM g),
+      h AS (SELECT v, type, lower(name) AS k, min(name) AS name, avg(confidence) AS confidence, count(DISTINCT c) AS n FROM e GROUP BY ALL)
+      SELECT substr(md5(type || '_' || regexp_replace(k, '[^a-z0-9 _.,!?-]', '', 'g')), 1, 16) AS entity_id, min(name) AS name,
+             type AS entity_type, round(sum(confidence * n) / sum(n), 6) AS confidence, count(*) AS videos
+      FROM h GROUP BY type, k""",
+)
 def graph_build(spark, sf_dir):
     """Entities of the graph built from all responses, merged video after video."""
     from reelgraph.plans.knowledge import graph_from_responses

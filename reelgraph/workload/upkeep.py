@@ -186,7 +186,10 @@ def entity_vectors(spark, sf_dir):
     return rows.select("entry_id", "source_id", "video_id", F.element_at("metadata", "name").alias("name"))
 
 
-@query("entity_embeddings", "GR9 UDF1")
+@query(
+    "entity_embeddings", "GR9 UDF1",
+    sql="SELECT entity_id, 64 AS size, 1.0::DOUBLE AS norm FROM entities", views="entities",
+)
 def entity_embeddings(spark, sf_dir):
     """Entity texts through the offline text embedder: vector length and norm."""
     e = dt.entities(spark, sf_dir)
