@@ -137,9 +137,11 @@ def greedy_merges(candidates: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     order = F.struct((-F.col("similarity")).alias("s"), F.col("primary").alias("p"), F.col("secondary").alias("q"))
     open_pairs = cut_lineage(candidates.select("primary", "secondary", "similarity", order.alias("turn")))
     done = open_pairs.filter(F.lit(False))
-    for _ in range(max_rounds):
+    for turn in range(1, max_rounds + 1):
         if open_pairs.isEmpty():
             return done
+        if turn % 16 == 0:
+            done = cut_lineage(done)
         threat = open_pairs.groupBy("secondary").agg(F.min("turn").alias("first"))
         own = threat.select("secondary", F.col("first").alias("own_threat"))
         boss = threat.select(F.col("secondary").alias("primary"), F.col("first").alias("boss_threat"))

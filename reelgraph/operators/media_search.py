@@ -201,6 +201,19 @@ def entities_matching(entities: DataFrame, query: str, top_k: int = 10) -> DataF
     ).orderBy(F.desc("confidence"), "item_id").limit(top_k)
 
 
+def query_library(
+    videos: DataFrame, chunks: DataFrame, frames: DataFrame, entities: DataFrame, query: str, return_type: str = "clips",
+    top_k: int = 10,
+) -> DataFrame:
+    """Clips, frames or entities matching a query by words; an unknown return type gives no rows."""
+    if return_type == "frames":
+        return frames_matching(frames, videos, query, top_k)
+    if return_type == "entities":
+        return entities_matching(entities, query, top_k)
+    found = clips_matching(chunks, videos, query, top_k)
+    return found if return_type == "clips" else found.filter(F.lit(False))
+
+
 def phrase_relevance(query: str, content: Column) -> Column:
     """How often the first three words of ``content`` occur in the query, counted without overlap."""
     q = query.lower()

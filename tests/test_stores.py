@@ -235,3 +235,25 @@ def test_settings(folder):
     assert s.is_model_enabled("embedder") and not s.is_model_enabled("x") and s.problems() == []
     e = config.settings_from_env({"REELGRAPH_RETRIEVAL_TOP_K_TEXT": "7", "REELGRAPH_PROCESSING_SUPPORTED_FORMATS": "mp4, webm"})
     assert e.retrieval.top_k_text == 7 and e.processing.supported_formats == ("mp4", "webm")
+
+
+def test_library(spark, folder):
+    from reelgraph.config import RetrievalSettings, Settings
+    from reelgraph.plans.library import Library
+
+    empty = Library.open(spark, f"{folder}/none")
+    assert empty.search("cat").count() == 0 and empty.retrieve("cat").count() == 0
+    lib = empty.add(processed(spark), 1.0).with_tables(**graph(spark))
+    lib.save(f"{folder}/lib")
+    lib = Library.open(spark, f"{folder}/lib", settings=Settings(retrieval=RetrievalSettings(confidence_threshold=0.1)))
+    assert lib.search("cat").count() == 2 and lib.query("cat").count() == 1 and lib.query("cat", "nothing").count() == 0
+    assert lib.query("bob", "entities").count() == 1 and lib.timeline("v1").count() == 5
+    first = lib.retrieve("cat")
+    assert [r["result_id"] for r in first.collect()] == ["v1_chunk_0000_frame_0000"] and lib.retrieve("cat") is first
+    assert lib.near_vector([1.0, 0.0], 1).first()["source_id"] == "v1_chunk_0000_frame_0000"
+    assert lib.hybrid("cat", [1.0, 0.0]).filter("text_score > 0 or vector_score > 0").count() == 2
+    again = lib.add(processed(spark), 2.0)
+    assert again["videos"].count() == 2 and again["frames"].count() == 2 and again["vectors"].count() == 2
+    assert again.remove("v1")["vectors"].count() == 0 and again.tidy(3.0)["videos"].count() == 1
+    assert again.merge(lib)["videos"].count() == 2 and lib.statistics().count() == 6
+    assert lib.neighbourhood("a").count() == 2 and lib.prune_graph()["entities"].count() == 2
