@@ -46,6 +46,16 @@ def merge_duplicates(results: DataFrame, settings: RetrievalSettings = Retrieval
     )
 
 
+def drop_known_vectors(merged: DataFrame) -> DataFrame:
+    """Merged results without the vector hits of entities that are there by name or relation.
+
+    Merged rows are unique per type and id, so an id has a handful of rows at most.
+    """
+    known = F.max(F.col("result_type").isin("entity", "related_entity")).over(Window.partitionBy("result_id"))
+    rows = merged.withColumn("_known", known)
+    return rows.filter(~((F.col("result_type") == "entity_embedding") & F.col("_known"))).drop("_known")
+
+
 def explanations_of(results: DataFrame, page: DataFrame) -> DataFrame:
     """Every distinct explanation of the results on a page, one row each."""
     return results.join(page.select(*KEY), KEY, "left_semi").select(*KEY, "explanation").distinct()

@@ -153,9 +153,13 @@ def visual_leg(store: MediaStore, ctx: QueryContext, s: RetrievalSettings, query
 
 def entity_leg(
     store: MediaStore, ctx: QueryContext, s: RetrievalSettings, query_vector, top_related: int = 3,
-    roles: tuple[str, ...] = ("entity",),
+    roles: tuple[str, ...] = ("entity",), drop_known: bool = True,
 ) -> DataFrame:
-    """Named entities, their strongest relations, and entity vectors near the query."""
+    """Named entities, their strongest relations, and entity vectors near the query.
+
+    Vectors of entities found by name or relation are dropped here, or, without ``drop_known``, by
+    ``ranking.drop_known_vectors`` after merging, which reads the leg once only.
+    """
     named = _scored_entities(store, ctx, s)
     out = _named_rows(named, roles)
     parents = named.select("entity_id", F.col("score").alias("parent_score"), F.col("name").alias("parent"))
@@ -173,7 +177,9 @@ def entity_leg(
         any_mention = mentioned.limit(1).agg(F.count("*")).scalar()
         vectors = store.vectors.filter((F.col("source_type") == "entity") & (any_mention > 0))
         hits = knn.top_k(vectors, query_vector, s.top_k_visual, s.similarity_threshold)
-        fresh = hits.join(out.select(F.col("result_id").alias("source_id")), "source_id", "left_anti")
+        fresh = hits
+        if drop_known:
+            fresh = hits.join(out.select(F.col("result_id").alias("source_id")), "source_id", "left_anti")
         label = F.format_string("Similar entity (%.3f)", F.col("similarity"))
         out = out.unionByName(fresh.select(*_result(
             3, "entity_embedding", F.col("source_id"), F.col("video_id"), None, None, F.col("similarity"), label, None, "entity"
@@ -187,7 +193,7 @@ def hybrid_rows(store: MediaStore, ctx: QueryContext, s: RetrievalSettings, quer
     if query_vector is not None:
         out = out.unionByName(visual_leg(store, ctx, s, query_vector))
     roles = ("text", "entity") if ctx.may_name_entities else ("entity",)
-    return out.unionByName(entity_leg(store, ctx, s, query_vector, roles=roles))
+    return out.unionByName(entity_leg(store, ctx, s, query_vector, roles=roles, drop_known=False))
 
 
 def candidates(
@@ -203,7 +209,8 @@ def candidates(
     elif strategy == "entity":
         rows = ranking.single_leg(entity_leg(store, ctx, s, query_vector), ctx.keywords)
     else:
-        rows = ranking.merge_duplicates(hybrid_rows(store, ctx, s, query_vector), s, ctx.keywords)
+        merged = ranking.merge_duplicates(hybrid_rows(store, ctx, s, query_vector), s, ctx.keywords)
+        rows = ranking.drop_known_vectors(merged)
     tp = ctx.time_preference if strategy == "hybrid" else None
     dp = ctx.duration_preference if strategy == "hybrid" else None
     return ranking.apply_temporal(rows, tp, dp, s.temporal_weight)
