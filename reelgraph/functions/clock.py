@@ -34,5 +34,11 @@ def seconds_to_timestamp(seconds: Column, always_hours: bool = False) -> Column:
 
 
 def epoch_seconds(ts: Column) -> Column:
-    """Unix seconds, with fractions, of a timestamp taken as UTC."""
-    return F.unix_micros(ts.cast("timestamp")) / F.lit(1e6)
+    """Unix seconds, with fractions, of a time-zone-free timestamp taken as UTC in any session time zone."""
+    since = ts.cast("timestamp_ntz") - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+    def part(unit: str) -> Column:
+        return F.extract(F.lit(unit), since)
+
+    whole = part("DAY").cast("long") * 86400 + part("HOUR").cast("long") * 3600 + part("MINUTE").cast("long") * 60
+    return (whole * 1000000 + (part("SECOND") * 1000000).cast("long")) / F.lit(1e6)

@@ -112,3 +112,14 @@ def test_ids(spark):
     assert r[0] == hashlib.md5(b"OBJECT_red car!").hexdigest()[:16]
     assert r[1] == hashlib.md5(b"a_USES_b").hexdigest()[:16]
     assert r[2] == "v_chunk_0003_frame_0012"
+
+
+def test_epoch_seconds_ignores_session_time_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            stamp = F.lit("2024-01-01 00:00:07.179575").cast("timestamp_ntz")
+            assert abs(one(spark, clock.epoch_seconds(stamp))[0] - 1704067207.179575) < 1e-6
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
