@@ -4,9 +4,9 @@
    corpus; they order all n-grams from rare to frequent, ties by hash.
 2. A second pass writes each set's prefix in that order: ``size - ceil(t * size) + 1`` n-grams, so two similar sets share one.
    Equal sets met in one task are settled there by a digest and write one prefix.
-3. In the task of an n-gram its sets stand in order of size.  The first is compared with the later ones as long as the length
-   filter lets it (then the next leads).  Those pairs, one per set and n-gram, go through the positional filter, are made distinct
-   and verified once with the whole sets.  N-grams that may be very frequent are salted first, and their leaders compared.
+3. In the task of an n-gram the set in which fewest n-grams are rarer leads.  It is paired with the others that the length and
+   positional filters let it have, one pair per set and n-gram; the pairs are made distinct and verified once with the whole sets.
+   N-grams that may be very frequent are salted first, and their leaders compared.
 4. Verified links are joined to components.  Only pairs of sets which share a prefix n-gram and lie in different components then
    remain; they pass the length, positional and suffix filters and are verified once.  So a group of many copies costs one
    comparison per copy instead of one per pair, and no link between components is lost.
@@ -39,6 +39,7 @@ CELL_BITS = 22
 _BLOCK = 1 << 14  # cells of one row of counts
 SALT_ABOVE = 200_000
 RUN_BLOCK = 20_000
+LEADERS = 8
 BROADCAST_IDS = 200_000
 
 
@@ -153,14 +154,17 @@ def _overlap(size_x, size_y, num: int, den: int):
 
 
 def _leaders(num: int, den: int):
-    """Rows sorted by (token, salt, size, rec) -> rows of n-grams with several sets, each with the leader it may be similar to.
+    """Rows sorted by (token, salt, pos, rec) -> rows of n-grams with several sets, each with the leader it may be similar to.
 
-    ``ordinal`` numbers the rows of a run.  Nothing of a run is kept but its first row and its leader, so a run may be of any length.
+    A set in which fewer n-grams are rarer than this one comes earlier: of near copies the least changed one leads, and the others are
+    closer to it than to each other.  A leader takes the rows that the length and positional filters leave it; up to ``LEADERS`` sets
+    that fit no leader lead as well.  ``ordinal`` numbers the rows of a run.  Nothing of a run is kept but its first row and its
+    leaders, so a run may be of any length.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["token", "salt", "rec", "size", "pos"]
-        last, first, leader, ordinal = None, None, None, 0
+        last, first, leaders, ordinal = None, None, [], 0
         for frame in frames:
             info = frame[frame["pos"] < 0]
             if len(info):
@@ -169,26 +173,30 @@ def _leaders(num: int, den: int):
             if not len(frame):
                 continue
             token, salt = frame["token"].to_numpy(), frame["salt"].to_numpy()
-            same = np.concatenate(([last is not None and last == (token[0], salt[0])], (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])))
+            same = np.concatenate(([last == (token[0], salt[0])], (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])))
             keep = same | np.concatenate((same[1:], [True]))  # the last row may go on in the next batch
             out = []
-            for k, joins, tok, s, rec, size, pos in zip(
-                np.flatnonzero(keep).tolist(), same[keep].tolist(), *(frame[c].to_numpy()[keep].tolist() for c in names), strict=True
+            for joins, tok, s, rec, size, pos in zip(
+                same[keep].tolist(), *(frame[c].to_numpy()[keep].tolist() for c in names), strict=True
             ):
                 if not joins:
-                    first, leader, ordinal = (tok, s, rec, size, pos), (rec, size, pos), 0
+                    first, leaders, ordinal = (tok, s, rec, size, pos), [(rec, size, pos)], 0
                     continue
                 if first is not None:
                     out.append((*first, 0, first[2]))
                     first = None
                 ordinal += 1
-                if num * size > den * leader[1]:
-                    leader = (rec, size, pos)
-                    out.append((tok, s, rec, size, pos, ordinal, rec))
-                    continue
-                need = _overlap(size, leader[1], num, den)
-                may = 1 + min(size - pos - 1, leader[1] - leader[2] - 1) >= need
-                out.append((tok, s, rec, size, pos, ordinal, leader[0] if may else rec))
+                leader = rec
+                for head, head_size, head_pos in leaders:
+                    if num * max(size, head_size) <= den * min(size, head_size) and (
+                        1 + min(size - pos - 1, head_size - head_pos - 1) >= _overlap(size, head_size, num, den)
+                    ):
+                        leader = head
+                        break
+                else:
+                    if len(leaders) < LEADERS:
+                        leaders.append((rec, size, pos))
+                out.append((tok, s, rec, size, pos, ordinal, leader))
             last = (token[-1], salt[-1])
             yield pd.DataFrame(out, columns=[*names, "ordinal", "leader"]).assign(spans=None)
 
@@ -294,7 +302,7 @@ def jaccard_components(docs: DataFrame, n: int = N, num: int = NUM, den: int = D
     rows = keyed.mapInPandas(
         _prefixes(n, num, den, bits, levels, hot), "token long, salt int, rec long, size int, pos int, other long, spans binary"
     )
-    sorted_rows = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "size", "rec")
+    sorted_rows = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "pos", "rec")
     table = staged(sorted_rows.mapInPandas(
         _leaders(num, den), "token long, salt int, rec long, size int, pos int, ordinal long, leader long, spans binary"
     ))
