@@ -140,9 +140,10 @@ def shards(docs: DataFrame, n: int = SHARDS, dimensions: Sequence[str] = ("lang"
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Write whole rows as one sorted folder per shard; repeated rows of one id go where the first of them goes."""
-    keyed = docs.withColumn("text_key", F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
-    spots = placed.groupBy("doc_id", "text_key").agg(F.min("shard").alias("shard"), F.min("slot").alias("slot"))
-    same = keyed["doc_id"].eqNullSafe(spots["doc_id"]) & (keyed["text_key"] == spots["text_key"])
-    whole = keyed.join(spots, same).select(*[keyed[c] for c in docs.columns], "shard", "slot")
-    whole.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    """Write whole rows as one sorted folder ``__shard=n`` per shard; repeated rows of one id go where the first of them goes."""
+    text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), text.alias("key"))
+    spots = placed.groupBy(F.col("doc_id").alias("spot_id"), "text_key").agg(F.min(F.struct("shard", "slot")).alias("to"))
+    whole = rows.join(spots, F.col("id").eqNullSafe(F.col("spot_id")) & (F.col("key") == F.col("text_key")))
+    whole = whole.select("row.*", F.col("to.shard").alias("__shard"), F.col("to.slot").alias("__slot"))
+    whole.repartitionByRange("__shard", "__slot").sortWithinPartitions("__shard", "__slot").drop("__slot").write.partitionBy("__shard").parquet(path)

@@ -6,7 +6,7 @@ taken twice, and once more if its source's seeded order reaches it before 0.3 of
 
 The order within a source is that of a keyed hash of the document's id.  Its running sums go in two levels: sums by (source, slice of the
 hash range), then rows in the one slice in which a source's fraction ends.  So a source that holds a third of all rows is never in one
-task, and the taken size differs from the target by less than one document of the source.
+task, and the taken size differs from the target by less than one document of the source (repeated rows of one id count as one).
 
 Nulls and edges: a null text has size 0; documents without words are taken as often as the others of their source.  The null
 source is a source of its own, after all others in the order.  An empty table gives an empty result; sources of size 0 get target 0.  Repeated rows with one id stand

@@ -95,12 +95,9 @@ def test_jaccard(docs, rows, n, num, den):
     assert got == brute_components(rows, n, num, den)
 
 
-@pytest.mark.parametrize("shuffled", [False, True])
-def test_jaccard_with_salts_and_blocks(spark, monkeypatch, shuffled):
+def test_jaccard_with_salts_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SALT_ABOVE", 5)
     monkeypatch.setattr(jaccard_join, "RUN_BLOCK", 4)
-    if shuffled:
-        monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
     rng = random.Random(5)
     common = [f"c{i}" for i in range(30)]
     rows = []
