@@ -131,15 +131,20 @@ def similar_to_entry(
 
 
 def batch_similarity(vectors: DataFrame, query: Sequence[float], metric: str = "cosine") -> DataFrame:
-    """A similarity for every row; euclidean distances are scaled by the largest one."""
+    """A similarity for every row; euclidean distances are scaled by the largest one.
+
+    Vectors without a finite distance, such as those of another length, don't count for the largest and get 0.
+    """
     if metric == "cosine":
         return vectors.withColumn("similarity", cosine_to(F.col("vector"), query)).drop("vector")
     if metric != "euclidean":
         raise ValueError(f"unknown metric {metric!r}")
     scored = vectors.withColumn("distance", distance_to(F.col("vector"), query)).drop("vector")
     # The largest distance is one value, read as a scalar subquery: no global window, no join.
-    largest = scored.agg(F.max("distance")).scalar()
-    return scored.withColumn("similarity", F.coalesce(1 - F.try_divide(F.col("distance"), largest), F.lit(0.0)))
+    usable = F.coalesce(~F.isnan("distance") & (F.abs("distance") < float("inf")), F.lit(False))
+    largest = scored.agg(F.max(F.when(usable, F.col("distance")))).scalar()
+    near = F.when(usable, 1 - F.try_divide(F.col("distance"), largest))
+    return scored.withColumn("similarity", F.coalesce(near, F.lit(0.0)))
 
 
 def lsh_top_k(vectors: DataFrame, query: Sequence[float], k: int = 10, tables: int = 8, width: float = 0.5) -> DataFrame:

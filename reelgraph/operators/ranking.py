@@ -121,15 +121,16 @@ def rank_page(page: DataFrame) -> DataFrame:
 
 
 def competition_rank(rows: DataFrame, score: str, buckets: int = 4096) -> DataFrame:
-    """Competition rank over any number of rows with scores in [0, 1].
+    """Competition rank over any number of rows with scores in [0, 1]; null scores rank last.
 
     Equal scores are counted first, map-side.  Distinct scores are then ranked inside fixed-width
     score buckets, and each bucket is shifted by the number of rows in the buckets above it: no task
     ever sorts the whole table, and a score shared by a third of the rows is one counted value.
     """
     distinct = rows.groupBy(F.col(score)).agg(F.count("*").alias("_n"))
-    distinct = distinct.withColumn("_b", F.greatest(F.lit(0), F.least(F.lit(buckets), F.floor(F.col(score) * buckets))))
-    totals = distinct.groupBy("_b").agg(F.sum("_n").alias("_t"))  # at most buckets + 1 rows
+    bucket = F.greatest(F.lit(0), F.least(F.lit(buckets), F.floor(F.col(score) * buckets)))
+    distinct = distinct.withColumn("_b", F.when(F.col(score).isNull(), -1).otherwise(bucket))
+    totals = distinct.groupBy("_b").agg(F.sum("_n").alias("_t"))  # at most buckets + 2 rows
     above = totals.select(
         "_b",
         F.coalesce(
@@ -141,16 +142,19 @@ def competition_rank(rows: DataFrame, score: str, buckets: int = 4096) -> DataFr
     placed = distinct.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(
         F.broadcast(above), "_b"
     )
-    ranks = placed.select(score, (F.col("_above") + F.col("_before") + 1).alias("rank"))
-    return rows.join(ranks, score)
+    ranks = placed.select(F.col(score).alias("_score"), (F.col("_above") + F.col("_before") + 1).alias("rank"))
+    return rows.join(ranks, F.col(score).eqNullSafe(F.col("_score"))).drop("_score")
 
 
 def post_process(
     results: DataFrame, settings: RetrievalSettings = RetrievalSettings(), max_results: int | None = None
 ) -> DataFrame:
-    """Threshold, order, diversify, rank, cut."""
+    """Threshold, order, diversify, rank, cut.
+
+    The page holds twice the final number of rows, or ``max_results`` if that is more.
+    """
     kept = results.filter(F.col("relevance") >= settings.confidence_threshold)
-    page = diversify(kept, settings.per_video_limit, settings.diversity_min_rows, settings.top_k_final * 2)
+    page = diversify(kept, settings.per_video_limit, settings.diversity_min_rows, max(settings.top_k_final * 2, max_results or 0))
     ranked = rank_page(page)
     return ranked.orderBy("rank", "result_type", "result_id").limit(max_results) if max_results else ranked
 

@@ -90,15 +90,15 @@ def queue_status(videos: DataFrame) -> DataFrame:
     return base.select("pending", "processing", "completed", "failed", queue.alias("queue"), eta.alias("eta_seconds"))
 
 
-def performance_metrics(videos: DataFrame, uptime_hours: Column | float = 1.0, memory_mb: Column | float = 1.0) -> DataFrame:
+def performance_metrics(videos: DataFrame, frames: DataFrame, uptime_hours: Column | float = 1.0, memory_mb: Column | float = 1.0) -> DataFrame:
     s = F.col("status")
     up = F.lit(uptime_hours) if isinstance(uptime_hours, (int, float)) else uptime_hours
     mem = F.lit(memory_mb) if isinstance(memory_mb, (int, float)) else memory_mb
     base = videos.agg(
         F.coalesce(F.sum(F.when(s == "completed", F.col("processing_time"))), F.lit(0.0)).alias("total_time"),
         F.count_if(s == "completed").alias("done"), F.count_if(s == "failed").alias("failed"),
-        F.coalesce(F.sum(F.when(s == "completed", F.col("chunk_count"))), F.lit(0)).alias("units"),
     )
+    n_frames = frames.agg(F.count("*")).scalar()
 
     def ratio(a: Column, b: Column) -> Column:
         return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -108,7 +108,7 @@ def performance_metrics(videos: DataFrame, uptime_hours: Column | float = 1.0, m
         ratio(F.col("total_time"), F.col("done")).alias("mean_processing_time"),
         ratio(F.col("done"), F.col("done") + F.col("failed")).alias("success_rate"),
         ratio(F.col("done"), up).alias("videos_per_hour"),
-        ratio(F.col("units"), mem).alias("frames_per_mb"),
+        ratio(n_frames, mem).alias("frames_per_mb"),
     )
 
 

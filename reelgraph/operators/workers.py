@@ -96,7 +96,7 @@ def expire_tasks(tasks: DataFrame, now: float, settings: ClusterSettings = Clust
     """Tasks without the finished ones older than the time to live."""
     age = F.lit(float(now)) - F.coalesce("completed_time", "created_time")
     old = F.col("status").isin(*TERMINAL) & (age > settings.task_ttl_hours * 3600)
-    return tasks.filter(~old)
+    return tasks.filter(~F.coalesce(old, F.lit(False)))  # a task without times is kept
 
 
 def cancel_open(tasks: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ modified in place and nothing is held in memory.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -29,7 +30,10 @@ class Library:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, **options) -> "Library":
-        """The library stored as one Parquet folder per table; missing tables are empty."""
+        """The last published version of a stored library; missing tables are empty."""
+        published = exchange.names_in(spark, f"{path}/published")
+        if published:
+            path = f"{path}/versions/{published[-1]}"
         schemas = {**METADATA_TABLES, "vectors": VECTORS, **GRAPH_TABLES}
         tables = {
             name: spark.read.schema(ddl).parquet(f"{path}/{name}") if exchange.exists(spark, f"{path}/{name}")
@@ -124,9 +128,11 @@ class Library:
         return self.with_tables(**store.delete_video(parts, video_id))
 
     def tidy(self, cutoff: float) -> "Library":
-        """Without failed videos from before the cutoff and without vectors of videos that do not exist."""
+        """Without failed videos from before the cutoff, their chunks, frames and audio, and vectors of videos that do not exist."""
         videos = store.expire_failed(self["videos"], cutoff)
-        return self.with_tables(videos=videos, vectors=store.kept_vectors(self["vectors"], videos))
+        gone = self["videos"].join(videos.select("video_id"), "video_id", "left_anti").select("video_id")
+        parts = {n: self[n].join(gone, "video_id", "left_anti") for n in ("chunks", "frames", "audio_segments")}
+        return self.with_tables(videos=videos, vectors=store.kept_vectors(self["vectors"], videos), **parts)
 
     def prune_graph(self) -> "Library":
         e, r = ga.clean_up(self["entities"], self["relations"], self.settings.graph.cleanup_threshold)
@@ -137,8 +143,16 @@ class Library:
         return self.with_tables(**store.sync(self.tables, other.tables))
 
     def save(self, path: str) -> None:
+        """Write a new version beside the others, then publish it by one small file.
+
+        The tables may be read from the same path; a save that ends half-way leaves the version before in force.
+        """
+        spark = self["videos"].sparkSession
+        published = exchange.names_in(spark, f"{path}/published")
+        version = f"{int(published[-1].split('-')[0]) + 1 if published else 1:010d}-{uuid.uuid4().hex[:8]}"
         for name, df in self.tables.items():
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
+            df.write.parquet(f"{path}/versions/{version}/{name}")
+        exchange.write_text(spark, f"{path}/published/{version}", version)
 
     def export(self, path: str, compress: bool = True) -> None:
         exchange.export_library(self.tables, path, compress=compress)

@@ -112,8 +112,12 @@ def _named_rows(named: DataFrame, roles: tuple[str, ...]) -> DataFrame:
     return named.select(F.inline(F.array(*shapes)))
 
 
-def text_leg(store: MediaStore, ctx: QueryContext, s: RetrievalSettings, with_entities: bool = True) -> DataFrame:
-    """Captions, transcripts and entity names that hold the query."""
+def text_leg(store: MediaStore, ctx: QueryContext, s: RetrievalSettings, with_entities: bool = True, compat: bool = False) -> DataFrame:
+    """Captions, transcripts and entity names that hold the query.
+
+    All hits are scored and the best kept; ``compat`` keeps the hits of highest confidence instead and scores those.
+    """
+    before = s.top_k_text if compat else None
 
     def scored(rows: DataFrame, column: str) -> DataFrame:
         return rows.withColumn("score", text.text_relevance(ctx.processed, F.col(column), ctx.keywords)).filter(
@@ -123,8 +127,11 @@ def text_leg(store: MediaStore, ctx: QueryContext, s: RetrievalSettings, with_en
     def quote(label: str, column: str):
         return F.concat(F.lit(label), F.substring(column, 1, 50), F.lit("..."))
 
-    f = scored(ms.search_frames(store.frames, store.videos, ctx.processed, ctx.video_id, s.top_k_text), "caption")
-    a = scored(ms.search_audio(store.audio, store.videos, ctx.processed, ctx.video_id, s.top_k_text), "transcript")
+    f = scored(ms.search_frames(store.frames, store.videos, ctx.processed, ctx.video_id, before), "caption")
+    a = scored(ms.search_audio(store.audio, store.videos, ctx.processed, ctx.video_id, before), "transcript")
+    if not compat:
+        f = f.orderBy(F.desc("score"), "timestamp", "frame_id").limit(s.top_k_text)
+        a = a.orderBy(F.desc("score"), "start_time", "segment_id").limit(s.top_k_text)
     out = f.select(*_result(
         1, "frame", F.col("frame_id"), F.col("video_id"), F.col("timestamp"), None, F.col("score"),
         quote("Caption match: ", "caption"), F.col("caption"), "text",

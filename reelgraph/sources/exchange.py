@@ -43,6 +43,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    fs, target, _ = _files(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(target)) if fs.exists(target) else []
+
+
+def remove(spark: SparkSession, table: str, column: str, value: str) -> None:
+    """Delete one partition folder of a table."""
+    jvm = spark._jvm
+    escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+    fs, target, _ = _files(spark, f"{table}/{column}={escaped}")
+    if fs.exists(target):
+        fs.delete(target, True)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
 

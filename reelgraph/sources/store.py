@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from reelgraph.schema import GRAPH_TABLES, METADATA_TABLES
+from reelgraph.session import cut_lineage
 
 
 def create_tables(spark: SparkSession, database: str = "default", buckets: int | None = None, location: str | None = None) -> None:
@@ -102,7 +103,7 @@ def insert_absent(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 
 def delete_by_key(target: DataFrame, key: str, value: str) -> DataFrame:
-    return target.filter(F.col(key) != value)
+    return target.filter(~F.col(key).eqNullSafe(value))
 
 
 def delete_video(tables: dict[str, DataFrame], video_id: str) -> dict[str, DataFrame]:
@@ -112,7 +113,8 @@ def delete_video(tables: dict[str, DataFrame], video_id: str) -> dict[str, DataF
 
 def expire_failed(videos: DataFrame, cutoff: float) -> DataFrame:
     """Videos without the failed ones created before the cutoff."""
-    return videos.filter(~((F.col("created_at") < cutoff) & ~F.col("success")))
+    expired = (F.col("created_at") < cutoff) & ~F.col("success")
+    return videos.filter(~F.coalesce(expired, F.lit(False)))  # unknown times and outcomes are kept
 
 
 def orphaned_vectors(vectors: DataFrame, videos: DataFrame) -> DataFrame:
@@ -165,8 +167,21 @@ def register_videos(known: DataFrame, offered: DataFrame, formats: tuple[str, ..
     )
 
 
+def delete_graph(spark: SparkSession, path: str, *graph_ids: str) -> None:
+    """Remove stored graphs, all their tables."""
+    from reelgraph.sources.exchange import remove
+
+    for name in GRAPH_TABLES:
+        for graph_id in graph_ids:
+            remove(spark, f"{path}/{name}", "graph_id", graph_id)
+
+
 def save_graph(tables: dict[str, DataFrame], path: str) -> None:
-    """Write graph tables partitioned by graph; only the graphs given are replaced."""
+    """Write graph tables partitioned by graph; only the graphs given are replaced, also where a table has become empty."""
+    given = next(iter(tables.values())).sparkSession
+    ids = {r["graph_id"] for df in tables.values() for r in df.select("graph_id").distinct().collect()}  # a few names
+    tables = {name: cut_lineage(df) for name, df in tables.items()}  # they may be read from what is removed
+    delete_graph(given, path, *sorted(i for i in ids if i is not None))
     for name, df in tables.items():
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("graph_id").parquet(f"{path}/{name}")
 

@@ -342,13 +342,13 @@ def queue_status(spark, sf_dir):
     "performance_metrics", "AGG8",
     sql="""WITH c AS (SELECT coalesce(sum(processing_time) FILTER (status = 'completed'), 0) AS t,
                         count(*) FILTER (status = 'completed') AS d, count(*) FILTER (status = 'failed') AS f,
-                        sum(chunk_count) FILTER (status = 'completed') AS u FROM videos)
+                        (SELECT count(*) FROM frames) AS u FROM videos)
            SELECT round(t, 6) AS total_processing_time, round(t / d, 6) AS mean_processing_time,
                   round(d / (d + f)::DOUBLE, 6) AS success_rate, round(d / 2.0, 6)::DOUBLE AS videos_per_hour,
                   round(u / 512.0, 6)::DOUBLE AS frames_per_mb
            FROM c""",
-    views="videos",
+    views="videos frames",
 )
 def performance_metrics(spark, sf_dir):
-    rows = stats.performance_metrics(dt.videos(spark, sf_dir), 2.0, 512.0)
+    rows = stats.performance_metrics(dt.videos(spark, sf_dir), dt.frames(spark, sf_dir), 2.0, 512.0)
     return rows.select(*[F.round(c, 6).alias(c) for c in rows.columns])

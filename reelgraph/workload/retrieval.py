@@ -43,11 +43,11 @@ def _legs_sql(q: str, keywords: list[str], bonus: float = 0.0) -> str:
            FROM entities e WHERE contains(lower(name), '{q}')),
     ne AS (SELECT * FROM ce WHERE s >= {th}),
     cf AS (SELECT f.*, {relevance_sql(q, 'caption', keywords)} AS s FROM (
-             SELECT * FROM frames JOIN videos USING (video_id) WHERE contains(lower(caption), '{q}')
-             ORDER BY confidence DESC, timestamp, frame_id LIMIT 10) f),
+             SELECT * FROM frames JOIN videos USING (video_id) WHERE contains(lower(caption), '{q}')) f
+           ORDER BY s DESC, timestamp, frame_id LIMIT 10),
     ca AS (SELECT f.*, {relevance_sql(q, 'transcript', keywords)} AS s FROM (
-             SELECT a.*, filename FROM audio_segments a JOIN videos USING (video_id) WHERE contains(lower(transcript), '{q}')
-             ORDER BY a.confidence DESC, start_time, segment_id LIMIT 10) f),
+             SELECT a.*, filename FROM audio_segments a JOIN videos USING (video_id) WHERE contains(lower(transcript), '{q}')) f
+           ORDER BY s DESC, start_time, segment_id LIMIT 10),
     t AS (SELECT 1 AS leg, 'frame' AS result_type, frame_id AS result_id, video_id, timestamp AS at, NULL::DOUBLE AS until,
                  s AS relevance, s AS text_score, 0.0::DOUBLE AS visual_score, 0.0::DOUBLE AS entity_score,
                  'Caption match: ' || caption[1:50] || '...' AS explanation FROM cf WHERE s >= {th}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reelgraph.functions import ids
 from reelgraph.models import inference as mi
+from reelgraph.operators import ranking
 from reelgraph.sources import driver_tables as dt, store
 from reelgraph.workload.registry import query
 
@@ -86,6 +87,32 @@ def retention(spark, sf_dir):
     return store.expire_failed(dt.videos(spark, sf_dir), 50.0).select("video_id", "success")
 
 
+@query(
+    "retention_nulls", "MNT2",
+    sql="""SELECT video_id FROM videos
+           WHERE NOT coalesce(CASE WHEN chunk_count % 2 = 1 THEN created_at END < 50 AND NOT CASE WHEN chunk_count % 3 > 0 THEN success END, false)""",
+    views="videos",
+)
+def retention_nulls(spark, sf_dir):
+    """Retention where times and outcomes are missing by a rule."""
+    videos = dt.videos(spark, sf_dir).withColumns({
+        "created_at": F.when(F.col("chunk_count") % 2 == 1, F.col("created_at")),
+        "success": F.when(F.col("chunk_count") % 3 > 0, F.col("success")),
+    })
+    return store.expire_failed(videos, 50.0).select("video_id")
+
+
+@query(
+    "rank_with_nulls", "WIN1",
+    sql="""SELECT p_partkey, rank() OVER (ORDER BY score DESC NULLS LAST) AS rank
+           FROM (SELECT p_partkey, CASE WHEN p_partkey % 5 > 0 THEN p_size / 50.0::DOUBLE END AS score FROM part)""",
+)
+def rank_with_nulls(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    rows = part.select("p_partkey", F.when(F.col("p_partkey") % 5 > 0, F.col("p_size") / F.lit(50.0)).alias("score"))
+    return ranking.competition_rank(rows, "score").select("p_partkey", F.col("rank").cast("long").alias("rank"))
+
+
 @query(
     "orphan_embeddings", "JOI8 MNT2",
     sql="""SELECT entry_id, video_id FROM vectors WHERE video_id NOT IN (SELECT video_id FROM videos WHERE success)""",

@@ -74,6 +74,12 @@ def test_graph_store(spark, folder):
     store.save_graph(graph(spark, "g1"), folder)
     store.save_graph(graph(spark, "g2"), folder)
     store.save_graph(graph(spark, "g2"), folder)
+    store.save_graph(graph(spark, "g3"), folder)
+    bare = graph(spark, "g3")
+    store.save_graph({**bare, "aliases": bare["aliases"].limit(0)}, folder)
+    assert store.load_graph(spark, folder, "g3")["aliases"].count() == 0 and store.load_graph(spark, folder, "g3")["entities"].count() > 0
+    store.delete_graph(spark, folder, "g3")
+    assert store.load_graph(spark, folder, "g3")["entities"].count() == 0
     everything = store.load_graph(spark, folder)
     assert sorted(r[0] for r in store.list_graphs(everything["entities"]).collect()) == ["g1", "g2"]
     assert everything["entities"].count() == 4 and store.load_graph(spark, folder, "g1")["relations"].count() == 1
@@ -254,6 +260,14 @@ def test_library(spark, folder):
     assert lib.hybrid("cat", [1.0, 0.0]).filter("text_score > 0 or vector_score > 0").count() == 2
     again = lib.add(processed(spark), 2.0)
     assert again["videos"].count() == 2 and again["frames"].count() == 2 and again["vectors"].count() == 2
+    again.save(f"{folder}/lib")  # onto the path it is read from
+    again.remove("v1").save(f"{folder}/lib")
+    assert "v1" not in {r.video_id for r in Library.open(spark, f"{folder}/lib").videos.collect()}
+    broken = again.with_tables(frames=again["frames"].withColumn("caption", F.raise_error(F.lit("stop"))))
+    with pytest.raises(Exception):
+        broken.with_tables(frames=broken["frames"].limit(0).unionByName(spark.range(1).select(
+            *[F.raise_error(F.lit("stop")).cast(f.dataType).alias(f.name) for f in again["frames"].schema]))).save(f"{folder}/lib")
+    assert "v1" not in {r.video_id for r in Library.open(spark, f"{folder}/lib").videos.collect()}
     assert again.remove("v1")["vectors"].count() == 0 and again.tidy(3.0)["videos"].count() == 1
     assert again.merge(lib)["videos"].count() == 2 and lib.statistics().count() == 6
     assert lib.neighbourhood("a").count() == 2 and lib.prune_graph()["entities"].count() == 2
