@@ -12,6 +12,7 @@ its own length alone, so their checksums are taken while its ids are at hand, an
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ from reelgraph.llm.common import documents, extended, slices, staged
 GROUP = 16_384
 MAX_TOKENS = 2_048
 MAX_SEGMENTS = 256
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 
 
 def dot_product_pack(demands: np.ndarray, capacity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +137,8 @@ class Encoder(dict):
         self.units = re.compile(f"[{self.SPACE}]*[^{self.SPACE}]+|[{self.SPACE}]+")
 
     def __missing__(self, unit: str) -> bytes:
-        ids = self.encoding.encode_to_numpy(unit, allowed_special="all").astype("<u4").tobytes()
+        found = self.encoding.encode(unit, allowed_special="all") if "<|" in unit else self.encoding.encode_ordinary(unit)
+        ids = struct.pack(f"<{len(found)}I", *found)
         if len(unit) <= 32 and len(self) < REMEMBERED:
             self[unit] = ids
         return ids
