@@ -40,7 +40,6 @@ _BLOCK = 1 << 14  # cells of one row of counts
 SALT_ABOVE = 200_000
 RUN_BLOCK = 20_000
 LEADERS = 8
-BROADCAST_IDS = 200_000
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -232,12 +231,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) ->
     )
     own = hubs.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("doc_id"))
     wanted = staged(partners.unionByName(own))
-    few = wanted.select("doc_id").distinct()
-    if wanted.count() <= BROADCAST_IDS:  # beyond that size the texts are shuffled by doc_id
-        rows = docs.join(F.broadcast(wanted), "doc_id")
-    else:
-        rows = docs.join(few, "doc_id", "left_semi").join(wanted, "doc_id")
-    rows = rows.select("hub", "part", (F.col("doc_id") != F.col("hub")).alias("late"), "doc_id", "text")
+    rows = docs.join(wanted, "doc_id").select("hub", "part", (F.col("doc_id") != F.col("hub")).alias("late"), "doc_id", "text")
     sorted_rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "late", "doc_id")
     return staged(sorted_rows.mapInPandas(_verify(n, num, den), "a long, b long"))
 
@@ -252,18 +246,22 @@ def _across(num: int, den: int):
     def pairs_of(size, rec, pos, comp, block, spans) -> np.ndarray:
         if (comp == comp[0]).all():
             return np.empty((0, 2), np.int64)
-        counts = np.stack([np.frombuffer(x, "<u4") for x in spans]).astype(np.int64)
-        two = block.min() != block.max()
+        two, m = block.min() != block.max(), len(rec)
         found = []
-        for i in range(1, len(rec)):
-            j = np.arange(np.searchsorted(size, -(-num * size[i] // den)), i)
-            j = j[(comp[j] != comp[i]) & (rec[j] != rec[i]) & ((block[j] != block[i]) | (not two))]
+        for late in range(0, m, 64):  # rows late to late + 64 with all before them, of which none is larger
+            stop = min(late + 64, m)
+            j, i = np.nonzero(np.tri(stop - late, stop, late - 1, dtype=bool))
+            j += late
+            good = (comp[i] != comp[j]) & (rec[i] != rec[j]) & (num * size[j] <= den * size[i]) & ((block[i] != block[j]) | (not two))
+            i, j = i[good], j[good]
             need = _overlap(size[i], size[j], num, den)
-            fits = 1 + np.minimum(size[i] - pos[i] - 1, size[j] - pos[j] - 1) >= need
-            j, need = j[fits], need[fits]
-            j = j[np.abs(counts[j] - counts[i]).sum(axis=1) <= size[i] + size[j] - 2 * need]
-            if len(j):
-                found.append(np.stack((np.minimum(rec[j], rec[i]), np.maximum(rec[j], rec[i])), axis=1))
+            good = 1 + np.minimum(size[i] - pos[i] - 1, size[j] - pos[j] - 1) >= need
+            i, j, need = i[good], j[good], need[good]
+            if len(i):
+                counts = {k: np.frombuffer(spans[k], "<u4").astype(np.int64) for k in {*i.tolist(), *j.tolist()}}
+                apart = np.array([np.abs(counts[x] - counts[y]).sum() for x, y in zip(i.tolist(), j.tolist(), strict=True)])
+                good = apart <= size[i] + size[j] - 2 * need
+                found.append(np.stack((np.minimum(rec[i], rec[j])[good], np.maximum(rec[i], rec[j])[good]), axis=1))
         return np.concatenate(found) if found else np.empty((0, 2), np.int64)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
