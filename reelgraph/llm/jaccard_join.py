@@ -132,7 +132,7 @@ def _prefixes(n: int, num: int, den: int, bits: int, levels, hot):
                     first = np.argsort(rare, kind="stable")[:length]
                     tokens.append(grams[first].view(np.int64))
                     recs.append((doc, length))
-                    others.append(np.full(length, doc))
+                    others.append(np.zeros(length, np.int64))
                     sizes.append((size, length))
                     places.append(np.arange(length, dtype=np.int32))
                     spans.extend([None] * length)
@@ -173,12 +173,14 @@ def _leaders(num: int, den: int):
                 continue
             token, salt = frame["token"].to_numpy(), frame["salt"].to_numpy()
             same = np.concatenate(([last == (token[0], salt[0])], (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])))
-            keep = same | np.concatenate((same[1:], [True]))  # the last row may go on in the next batch
+            keep = same | np.concatenate((same[1:], [True])) | (salt > 0)  # the last row may go on; a salted n-gram has other runs
             out = []
             for joins, tok, s, rec, size, pos in zip(
                 same[keep].tolist(), *(frame[c].to_numpy()[keep].tolist() for c in names), strict=True
             ):
                 if not joins:
+                    if first is not None and first[1] > 0:
+                        out.append((*first, 0, first[2]))
                     first, leaders, ordinal = (tok, s, rec, size, pos), [(rec, size, pos)], 0
                     continue
                 if first is not None:
@@ -198,6 +200,8 @@ def _leaders(num: int, den: int):
                 out.append((tok, s, rec, size, pos, ordinal, leader))
             last = (token[-1], salt[-1])
             yield pd.DataFrame(out, columns=[*names, "ordinal", "leader"]).assign(spans=None)
+        if first is not None and first[1] > 0:
+            yield pd.DataFrame([(*first, 0, first[2])], columns=[*names, "ordinal", "leader"]).assign(spans=None)
 
     return run
 
@@ -236,16 +240,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) ->
     return staged(sorted_rows.mapInPandas(_verify(n, num, den), "a long, b long"))
 
 
-def _across(num: int, den: int):
-    """Rows sorted by (token, low, high, size, rec) -> distinct pairs of one key in different components that pass the filters.
+def _across(num: int, den: int, most: int | None = None):
+    """Rows sorted by (token, low, high, size, rec) -> pairs of one key in different components that the length and positional filters leave.
 
-    A key has the rows of at most two blocks.  The suffix filter compares how many n-grams lie in each part of the hash range: two
-    sets differ in at least the sum of those differences.
+    A key has the rows of at most two blocks.  Runs of more than ``most`` rows are left out: those are dealt in blocks.
     """
 
-    def pairs_of(size, rec, pos, comp, block, spans) -> np.ndarray:
-        if (comp == comp[0]).all():
-            return np.empty((0, 2), np.int64)
+    def pairs_of(size, rec, pos, comp, block) -> np.ndarray:
         two, m = block.min() != block.max(), len(rec)
         found = []
         for late in range(0, m, 64):  # rows late to late + 64 with all before them, of which none is larger
@@ -254,36 +255,64 @@ def _across(num: int, den: int):
             j += late
             good = (comp[i] != comp[j]) & (rec[i] != rec[j]) & (num * size[j] <= den * size[i]) & ((block[i] != block[j]) | (not two))
             i, j = i[good], j[good]
-            need = _overlap(size[i], size[j], num, den)
-            good = 1 + np.minimum(size[i] - pos[i] - 1, size[j] - pos[j] - 1) >= need
-            i, j, need = i[good], j[good], need[good]
-            if len(i):
-                counts = {k: np.frombuffer(spans[k], "<u4").astype(np.int64) for k in {*i.tolist(), *j.tolist()}}
-                apart = np.array([np.abs(counts[x] - counts[y]).sum() for x, y in zip(i.tolist(), j.tolist(), strict=True)])
-                good = apart <= size[i] + size[j] - 2 * need
-                found.append(np.stack((np.minimum(rec[i], rec[j])[good], np.maximum(rec[i], rec[j])[good]), axis=1))
-        return np.concatenate(found) if found else np.empty((0, 2), np.int64)
+            good = 1 + np.minimum(size[i] - pos[i] - 1, size[j] - pos[j] - 1) >= _overlap(size[i], size[j], num, den)
+            found.append(np.stack((np.minimum(rec[i], rec[j])[good], np.maximum(rec[i], rec[j])[good]), axis=1))
+        return np.concatenate(found)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        waiting: list[pd.DataFrame] = []  # the last run so far, which may go on in the next batch
         for frame in frames:
-            frame = frame if rest is None else pd.concat([rest, frame])
+            if not len(frame):
+                continue
             keys = frame[["token", "low", "high"]].to_numpy()
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
-            rest = frame.iloc[cuts[-1] :]
-            yield made(frame, cuts)
-        if rest is not None:
-            yield made(rest, [0, len(rest)])
-
-    def made(frame: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
-        columns = [frame[c].to_numpy().astype(np.int64) for c in ("size", "rec", "pos", "comp", "block")] + [frame["spans"].to_numpy()]
-        pairs = [pairs_of(*(c[a:b] for c in columns)) for a, b in zip(cuts, cuts[1:], strict=False)]
-        pairs = np.concatenate([np.empty((0, 2), np.int64), *pairs])
-        return pd.DataFrame(np.unique(pairs, axis=0), columns=["a", "b"])
+            cuts = (np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()
+            if waiting and (waiting[-1][["token", "low", "high"]].to_numpy()[-1] != keys[0]).any():
+                yield made(pd.concat(waiting))
+                waiting = []
+            if cuts:
+                yield made(pd.concat([*waiting, frame.iloc[: cuts[-1]]]))
+                waiting = []
+            waiting.append(frame.iloc[cuts[-1] if cuts else 0 :])
+        if waiting:
+            yield made(pd.concat(waiting))
+
+    def made(frame: pd.DataFrame) -> pd.DataFrame:
+        keys = frame[["token", "low", "high"]].to_numpy()
+        starts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1))
+        ends = np.append(starts[1:], len(frame))
+        columns = [frame[c].to_numpy().astype(np.int64) for c in ("size", "rec", "pos", "comp", "block")]
+        wanted = np.minimum.reduceat(columns[3], starts) < np.maximum.reduceat(columns[3], starts)
+        if most is not None:
+            wanted &= ends - starts <= most
+        pairs = [pairs_of(*(c[a:b] for c in columns)) for a, b in zip(starts[wanted].tolist(), ends[wanted].tolist(), strict=True)]
+        return pd.DataFrame(np.unique(np.concatenate([np.empty((0, 2), np.int64), *pairs]), axis=0), columns=["a", "b"])
+
+    return run
+
+
+def _suffix_filter(num: int, den: int):
+    """(a, b, spans_a, spans_b) -> the pairs that may be similar: two sets differ in at least as many n-grams as their counts do by part."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            x, y = (np.frombuffer(b"".join(frame[c]), "<u4").astype(np.int64).reshape(len(frame), -1) for c in ("spans_a", "spans_b"))
+            together = x.sum(axis=1) + y.sum(axis=1)
+            good = np.abs(x - y).sum(axis=1) <= together - 2 * _overlap(together, 0, num, den)
+            yield frame.loc[good, ["a", "b"]]
 
     return run
 
 
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows of long runs, in each pair of blocks of their run that holds them; runs within one component are left out."""
+    apart = rows.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2")
+    left = rows.join(apart, "token", "left_semi").withColumn("block", F.pmod(F.xxhash64("rec"), F.col("blocks")).cast("int"))
+    cells = left.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "token", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "rec", "size", "pos", "comp", "block"
+    )
+    return cells.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "size", "rec")
+
+
 def jaccard_components(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN, bits: int = CELL_BITS) -> DataFrame:
     """Link documents whose n-gram sets have a Jaccard similarity of at least ``num / den``; see the module's text."""
     if n < 1 or not 0 < num <= den:
@@ -315,24 +344,26 @@ def jaccard_components(docs: DataFrame, n: int = N, num: int = NUM, den: int = D
     links = equal.unionByName(_verified(keyed, firsts, n, num, den))
     joined = components(links, "a", "b")
 
-    comp = F.coalesce("component", "rec")
-    placed = runs.join(joined, runs["rec"] == joined["node"], "left").select("token", "rec", "size", "pos", "ordinal", "salt", comp.alias("comp"))
-    mixed_tokens = placed.groupBy("token").agg(
-        F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.max("ordinal").alias("most"), F.max("salt").alias("salts")
-    ).where("c1 < c2").select("token", (1 + F.floor(F.col("most") / RUN_BLOCK) + F.when(F.col("salts") > 0, F.col("salts")).otherwise(0)).alias("blocks"))
-    spans = info.select("rec", "spans").dropDuplicates(["rec"])
-    left = placed.join(mixed_tokens, "token").join(spans, "rec").withColumn(
-        "block", F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("rec"), F.col("blocks"))).cast("int")
+    placed = runs.join(joined, runs["rec"] == joined["node"], "left").select(
+        "token", "salt", "rec", "size", "pos", F.coalesce("component", "rec").alias("comp")
+    )
+    nil = F.lit(0)
+    pairs = (
+        placed.where("salt = 0").select("token", nil.alias("low"), nil.alias("high"), "rec", "size", "pos", "comp", nil.alias("block"))
+        .repartition("token").sortWithinPartitions("token", "size", "rec").mapInPandas(_across(num, den, RUN_BLOCK), "a long, b long")
+    )
+    long_runs = staged(
+        runs.where((F.col("ordinal") >= RUN_BLOCK) | (F.col("salt") > 0)).groupBy("token")
+        .agg((F.greatest(F.max("salt"), F.lit(1)) * (1 + F.floor(F.max("ordinal") / RUN_BLOCK))).cast("int").alias("blocks"))
     )
-    cells = left.select(
-        "token", "rec", "size", "pos", "comp", "block", "spans",
-        F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))).alias("with"),
-    ).select("token", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "rec", "size", "pos", "comp", "block", "spans")
-    rest = staged(
-        cells.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "size", "rec")
-        .mapInPandas(_across(num, den), "a long, b long").distinct()
-        .join(firsts.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    if long_runs.limit(1).count():
+        pairs = pairs.unionByName(_in_blocks(placed.join(long_runs, "token")).mapInPandas(_across(num, den), "a long, b long"))
+    spans = info.select("rec", "spans").distinct()
+    new = pairs.distinct().join(firsts.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    both = new.join(spans.select(F.col("rec").alias("a"), F.col("spans").alias("spans_a")), "a").join(
+        spans.select(F.col("rec").alias("b"), F.col("spans").alias("spans_b")), "b"
     )
+    rest = staged(both.select("a", "b", "spans_a", "spans_b").mapInPandas(_suffix_filter(num, den), "a long, b long").distinct())
     more = _verified(keyed, rest, n, num, den)
     if more.limit(1).count():
         links = links.unionByName(more)

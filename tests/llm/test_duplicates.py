@@ -129,3 +129,12 @@ def test_components(spark):
         root[y] = x
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()}
     assert got == {x: find(x) for x in root if find(x) != x}
+
+
+def test_jaccard_links_rows_of_different_salts(spark, monkeypatch):
+    """Two documents whose common n-grams are salted apart, so that each stands alone in its run."""
+    monkeypatch.setattr(jaccard_join, "SALT_ABOVE", 1)
+    rows = [(k, " ".join([f"p{k // 2}_{i}" for i in range(30)] + [f"own{k}"])) for k in range(20)]
+    made = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in made.collect()), key=str)
+    assert got == brute_components(rows, 2, 75, 100)
