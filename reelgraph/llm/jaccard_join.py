@@ -5,7 +5,8 @@
 2. A second pass writes each set's prefix in that order: ``size - ceil(t * size) + 1`` n-grams, so two similar sets share one.
    Equal sets met in one task are settled there by a digest and write one prefix.
 3. In the task of an n-gram the set in which fewest n-grams are rarer leads.  It is paired with the others that the length and
-   positional filters let it have, one pair per set and n-gram; the pairs are made distinct and verified once with the whole sets.
+   positional filters let it have, one pair per set and n-gram; the pairs are made distinct, pass the suffix filter and are verified
+   once with the whole sets.
    N-grams that may be very frequent are salted first, and their leaders compared.
 4. Verified links are joined to components.  Only pairs of sets which share a prefix n-gram and lie in different components then
    remain; they pass the length, positional and suffix filters and are verified once.  So a group of many copies costs one
@@ -40,6 +41,7 @@ _BLOCK = 1 << 14  # cells of one row of counts
 SALT_ABOVE = 200_000
 RUN_BLOCK = 20_000
 LEADERS = 8
+FILTER_WORDS = 1 << 18  # of 64 bits; a fixed size, whatever the corpus
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -227,6 +229,16 @@ def _verify(n: int, num: int, den: int):
     return run
 
 
+def _perhaps_among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id may be one of ``wanted``, by a bit filter of fixed size: most other texts aren't shuffled."""
+    key = F.xxhash64("doc_id", F.lit(3))
+    word, place = F.pmod(key, F.lit(FILTER_WORDS)).cast("int"), F.shiftrightunsigned(key, 58).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place)
+    bits = wanted.select(word.alias("__word"), bit.alias("bit")).groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
+    tagged = docs.withColumns({"__word": word, "__bit": bit})
+    return tagged.join(F.broadcast(bits), "__word").where(F.col("__bits").bitwiseAND(F.col("__bit")) != 0).select(docs.columns)
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The links among distinct ``pairs`` (a, b).  Each text travels once per hub; a hub with many partners is split."""
     hubs = pairs.groupBy("a").agg(F.count("*").alias("k")).select("a", (1 + F.floor(F.col("k") / 2_000)).cast("int").alias("parts"))
@@ -235,7 +247,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) ->
     )
     own = hubs.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("doc_id"))
     wanted = staged(partners.unionByName(own))
-    rows = docs.join(wanted, "doc_id").select("hub", "part", (F.col("doc_id") != F.col("hub")).alias("late"), "doc_id", "text")
+    rows = _perhaps_among(docs, wanted).join(wanted, "doc_id").select("hub", "part", (F.col("doc_id") != F.col("hub")).alias("late"), "doc_id", "text")
     sorted_rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "late", "doc_id")
     return staged(sorted_rows.mapInPandas(_verify(n, num, den), "a long, b long"))
 
@@ -303,6 +315,15 @@ def _suffix_filter(num: int, den: int):
     return run
 
 
+def _may_link(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
+    """The distinct (a, b) that pass the suffix filter."""
+    spans = info.select("rec", "spans").distinct()
+    both = pairs.join(spans.select(F.col("rec").alias("a"), F.col("spans").alias("spans_a")), "a").join(
+        spans.select(F.col("rec").alias("b"), F.col("spans").alias("spans_b")), "b"
+    )
+    return staged(both.select("a", "b", "spans_a", "spans_b").mapInPandas(_suffix_filter(num, den), "a long, b long").distinct())
+
+
 def _in_blocks(rows: DataFrame) -> DataFrame:
     """Rows of long runs, in each pair of blocks of their run that holds them; runs within one component are left out."""
     apart = rows.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2")
@@ -339,7 +360,7 @@ def jaccard_components(docs: DataFrame, n: int = N, num: int = NUM, den: int = D
     salted = runs.where("salt > 0 and leader = rec").groupBy("token", "rec").agg(F.first("size").alias("size"))
     heads = salted.groupBy("token").agg(F.min("rec").alias("a"))
     between = salted.join(heads, "token").where("a <> rec").select("a", F.col("rec").alias("b"))
-    firsts = staged(led.unionByName(between).distinct())
+    firsts = _may_link(led.unionByName(between).distinct(), info, num, den)
     equal = info.where("leader <> rec").select(F.col("leader").alias("a"), F.col("rec").alias("b")).distinct()
     links = equal.unionByName(_verified(keyed, firsts, n, num, den))
     joined = components(links, "a", "b")
@@ -358,12 +379,8 @@ def jaccard_components(docs: DataFrame, n: int = N, num: int = NUM, den: int = D
     )
     if long_runs.limit(1).count():
         pairs = pairs.unionByName(_in_blocks(placed.join(long_runs, "token")).mapInPandas(_across(num, den), "a long, b long"))
-    spans = info.select("rec", "spans").distinct()
     new = pairs.distinct().join(firsts.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    both = new.join(spans.select(F.col("rec").alias("a"), F.col("spans").alias("spans_a")), "a").join(
-        spans.select(F.col("rec").alias("b"), F.col("spans").alias("spans_b")), "b"
-    )
-    rest = staged(both.select("a", "b", "spans_a", "spans_b").mapInPandas(_suffix_filter(num, den), "a long, b long").distinct())
+    rest = _may_link(new, info, num, den)
     more = _verified(keyed, rest, n, num, den)
     if more.limit(1).count():
         links = links.unionByName(more)
