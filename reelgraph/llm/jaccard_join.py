@@ -224,7 +224,7 @@ def _verify(n: int, num: int, den: int):
         for frame in batches(frames, "text"):
             links = []
             for key, salt, doc, text in zip(frame["hub"], frame["part"], frame["doc_id"], frame["text"], strict=True):
-                grams = shingles(text, n)
+                grams = shingles(None if text is None else zlib.decompress(text).decode(), n)
                 if at != (key, salt):
                     hub, at = [grams], (key, salt)
                 elif doc == key:  # another text under the hub's doc_id
@@ -237,14 +237,21 @@ def _verify(n: int, num: int, den: int):
     return run
 
 
-def _perhaps_among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id may be one of ``wanted``, by a bit filter of fixed size: most other texts aren't shuffled."""
-    key = F.xxhash64("doc_id", F.lit(3))
-    word, place = F.pmod(key, F.lit(FILTER_WORDS)).cast("int"), F.shiftrightunsigned(key, 58).cast("int")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place)
-    bits = wanted.select(word.alias("__word"), bit.alias("bit")).groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
-    tagged = docs.withColumns({"__word": word, "__bit": bit})
-    return tagged.join(F.broadcast(bits), "__word").where(F.col("__bits").bitwiseAND(F.col("__bit")) != 0).select(docs.columns)
+def _perhaps_among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` with ``__perhaps``: may ``column`` be one of ``wanted``'s?  A bit filter of fixed size; rows it rules out needn't be shuffled."""
+    bit = lambda key: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(key, 58).cast("int"))
+    word = lambda key: F.pmod(key, F.lit(FILTER_WORDS)).cast("int")
+    want, have = F.xxhash64(wanted.columns[0], F.lit(3)), F.xxhash64(column, F.lit(3))
+    bits = wanted.select(word(want).alias("__word"), bit(want).alias("bit")).groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
+    perhaps = F.coalesce(F.col("__bits").bitwiseAND(bit(have)) != 0, F.lit(False))
+    return rows.withColumn("__word", word(have)).join(F.broadcast(bits), "__word", "left").select(*rows.columns, perhaps.alias("__perhaps"))
+
+
+def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts compressed for their way through two shuffles."""
+    for frame in batches(frames, "text"):
+        texts = [None if t is None else zlib.compress(t.encode()) for t in frame["text"]]
+        yield pd.DataFrame({"doc_id": frame["doc_id"], "text": pd.Series(texts, index=frame.index, dtype=object)})
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -255,7 +262,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) ->
     )
     own = hubs.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("doc_id"))
     wanted = staged(partners.unionByName(own))
-    rows = _perhaps_among(docs, wanted).join(wanted, "doc_id").select("hub", "part", (F.col("doc_id") != F.col("hub")).alias("late"), "doc_id", "text")
+    texts = _perhaps_among(docs, "doc_id", wanted.select("doc_id")).where("__perhaps").select("doc_id", "text")
+    texts = texts.mapInPandas(_packed, "doc_id long, text binary")
+    rows = texts.join(wanted, "doc_id").select("hub", "part", (F.col("doc_id") != F.col("hub")).alias("late"), "doc_id", "text")
     sorted_rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "late", "doc_id")
     return staged(sorted_rows.mapInPandas(_verify(n, num, den), "a long, b long"))
 
