@@ -382,8 +382,12 @@ def jaccard_components(docs: DataFrame, n: int = N, num: int = NUM, den: int = D
     links = equal.unionByName(_verified(keyed, firsts, n, num, den))
     joined = components(links, "a", "b")
 
-    placed = runs.join(joined, runs["rec"] == joined["node"], "left").select(
-        "token", "salt", "rec", "size", "pos", F.coalesce("component", "rec").alias("comp")
+    # a set outside every component so far is its own; most such rows skip the shuffle by set
+    maybe = _perhaps_among(runs, "rec", joined.select("node"))
+    columns = ["token", "salt", "rec", "size", "pos"]
+    placed = (
+        maybe.where("__perhaps").join(joined, F.col("rec") == joined["node"], "left").select(*columns, F.coalesce("component", "rec").alias("comp"))
+        .unionByName(maybe.where("NOT __perhaps").select(*columns, F.col("rec").alias("comp")))
     )
     nil = F.lit(0)
     pairs = (
