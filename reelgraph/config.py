@@ -124,18 +124,15 @@ def settings_from_dict(data: dict) -> Settings:
 
 
 def load_settings(path: str | None = None) -> Settings:
-    """Read settings from a JSON or YAML file; an unreadable file gives the defaults."""
-    if not path:
-        return Settings()
-    try:
-        text = Path(path).read_text(encoding="utf-8")
-        if path.endswith((".yaml", ".yml")):
-            import yaml
-
-            return settings_from_dict(yaml.safe_load(text) or {})
-        return settings_from_dict(json.loads(text))
-    except (OSError, ValueError, TypeError, ImportError):
+    """Read settings from a JSON or YAML file; a file that isn't there gives the defaults, one that can't be read raises."""
+    if not path or not Path(path).exists():
         return Settings()
+    text = Path(path).read_text(encoding="utf-8")
+    if path.endswith((".yaml", ".yml")):
+        import yaml
+
+        return settings_from_dict(yaml.safe_load(text) or {})
+    return settings_from_dict(json.loads(text))
 
 
 def save_settings(settings: Settings, path: str) -> None:

@@ -7,7 +7,8 @@ fails its rows are retried one by one, and a row that fails alone becomes null.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -26,15 +27,16 @@ class Model:
     output: T.DataType
     memory_mb: float = 0.0
     batch: int = 64
+    key: str = field(default_factory=lambda: uuid4().hex)  # travels to the workers; tells models of one name apart
 
 
-_LOADED: dict[str, object] = {}
+_LOADED: dict[str, tuple[str, object]] = {}  # the last one of each name
 
 
 def _loaded(model: Model):
-    if model.name not in _LOADED:
-        _LOADED[model.name] = model.load()
-    return _LOADED[model.name]
+    if model.name not in _LOADED or _LOADED[model.name][0] != model.key:
+        _LOADED[model.name] = (model.key, model.load())
+    return _LOADED[model.name][1]
 
 
 def _call(model: Model, values: list) -> list:

@@ -75,7 +75,7 @@ def browse_videos(spark, sf_dir):
     views="videos frames entity_videos",
 )
 def video_details(spark, sf_dir):
-    ev = dt.entity_videos(spark, sf_dir).withColumn("video_id", F.expr("substr(video_id, 2)")).filter("length(video_id) < 5")
+    ev = dt.entity_videos(spark, sf_dir).withColumn("video_id", F.expr("substr(video_id, 2)"))
     rows = ms.video_details(dt.videos(spark, sf_dir), dt.frames(spark, sf_dir), ev, ev, "7")
     return rows.select("video_id", "filename", "chunk_count", "frames_total", "entities_total")
 

@@ -38,23 +38,27 @@ def insert_if_absent(spark, sf_dir):
 
 @query(
     "store_sync", "SRC15",
-    sql="""WITH n AS (SELECT video_id FROM videos WHERE NOT success)
-           SELECT 'videos' AS kind, video_id AS item_id FROM videos
-           UNION ALL SELECT 'chunks', chunk_id FROM chunks UNION ALL SELECT 'vectors', entry_id FROM vectors""",
-    views="videos chunks vectors",
+    sql="""SELECT 'videos' AS kind, video_id AS item_id FROM videos
+           UNION ALL SELECT 'chunks', chunk_id FROM chunks SEMI JOIN videos USING (video_id)
+           UNION ALL SELECT 'frames', frame_id FROM frames SEMI JOIN videos USING (video_id)
+           UNION ALL SELECT 'audio_segments', segment_id FROM audio_segments SEMI JOIN videos USING (video_id)
+           UNION ALL SELECT 'vectors', entry_id FROM vectors""",
+    views="videos chunks frames audio_segments vectors",
 )
 def store_sync(spark, sf_dir):
     """A store of the successful videos takes over the rest from a store of all of them."""
-    v, c, x = dt.videos(spark, sf_dir), dt.chunks(spark, sf_dir), dt.vectors(spark, sf_dir)
+    v, x = dt.videos(spark, sf_dir), dt.vectors(spark, sf_dir)
     good = v.filter("success")
-    target = {
-        "videos": good, "chunks": c.join(good.select("video_id"), "video_id", "left_semi"), "frames": dt.frames(spark, sf_dir),
-        "audio_segments": dt.audio_segments(spark, sf_dir), "vectors": x.filter("source_type = 'frame'"),
-    }
-    out = store.sync(target, {"videos": v, "chunks": c, "vectors": x})
-    parts = [("videos", "video_id"), ("chunks", "chunk_id"), ("vectors", "entry_id")]
-    rows = [out[n].select(F.lit(n).alias("kind"), F.col(k).alias("item_id")) for n, k in parts]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    children = {"chunks": dt.chunks(spark, sf_dir), "frames": dt.frames(spark, sf_dir), "audio_segments": dt.audio_segments(spark, sf_dir)}
+    own = {n: rows.join(good.select("video_id"), "video_id", "left_semi") for n, rows in children.items()}
+    out = store.sync(
+        {"videos": good, "vectors": x.filter("source_type = 'frame'"), **own}, {"videos": v, "vectors": x, **children}
+    )
+    parts = [("chunks", "chunk_id"), ("frames", "frame_id"), ("audio_segments", "segment_id"), ("vectors", "entry_id")]
+    all_rows = out["videos"].select(F.lit("videos").alias("kind"), F.col("video_id").alias("item_id"))
+    for n, k in parts:
+        all_rows = all_rows.unionByName(out[n].select(F.lit(n).alias("kind"), F.col(k).alias("item_id")))
+    return all_rows
 
 
 @query(
@@ -202,14 +206,14 @@ def shred_videos(spark, sf_dir):
 
 @query(
     "entity_vectors", "SRC9",
-    sql="""SELECT 'entity_P' || p_partkey AS entry_id, 'P' || p_partkey AS source_id, CASE WHEN p_size > 25 THEN '' ELSE 'v' || p_size END AS video_id,
-                  p_name AS name FROM part""",
+    sql="""SELECT 'entity_' || entity_id AS entry_id, entity_id AS source_id, coalesce(v, '') AS video_id, name
+           FROM entities LEFT JOIN (SELECT entity_id, min(video_id) AS v FROM entity_videos GROUP BY 1) USING (entity_id)""",
+    views="entities entity_videos",
 )
 def entity_vectors(spark, sf_dir):
-    """Vector rows for the parts; large ones have no source video."""
-    e = dt.entities(spark, sf_dir).filter("entity_type = 'OBJECT'").withColumn("embedding", F.array(F.col("confidence").cast("float")))
-    own = dt.home_videos(spark, sf_dir).filter(F.col("entity_id").startswith("P") & (F.substring("video_id", 2, 9).cast("int") <= 25))
-    rows = store.entity_vectors(e, own, 0.0)
+    """Vector rows of all entities, each with the smallest of its source videos."""
+    e = dt.entities(spark, sf_dir).withColumn("embedding", F.array(F.col("confidence").cast("float")))
+    rows = store.entity_vectors(e, dt.entity_videos(spark, sf_dir), 0.0)
     return rows.select("entry_id", "source_id", "video_id", F.element_at("metadata", "name").alias("name"))
 
 
