@@ -23,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id; of rows that share an id one."""
-    others = jaccard_join.jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    others = jaccard_join.jaccard_components(docs, count_links=False).where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
     ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
     if ids.where("n > 1").limit(1).count():

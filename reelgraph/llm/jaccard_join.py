@@ -11,9 +11,11 @@
 4. Verified links are joined to components.  Only pairs of sets which share a prefix n-gram and lie in different components then
    remain; they pass the length, positional and suffix filters and are verified once.  So a group of many copies costs one
    comparison per copy instead of one per pair, and no link between components is lost.
+5. Links are counted inside components, where all of them are.  Documents with equal sets are one set with its number of documents;
+   every two different sets of a component are compared, in blocks of bounded size that give sums per set and not pairs.
 
-Result: (doc_id, n_shingles, component_id, n_links): ``component_id`` is the smallest doc_id reachable by links; ``n_links`` counts
-the verified links found at the document, not all pairs inside its component.
+Result: (doc_id, n_shingles, component_id, n_links): ``component_id`` is the smallest doc_id reachable by links; ``n_links`` is the
+number of other documents that the document is linked with.
 
 Nulls and edges: a null, empty or blank text has no n-grams, links with nothing and is its own component.  A text with fewer than n
 words has its whole sequence as its one n-gram.  A null ``doc_id`` gets null as its component.  Rows that share a ``doc_id`` are
@@ -30,6 +32,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from reelgraph.llm.common import batches, documents, gram_hashes, hash_words, staged
 from reelgraph.llm.components import components
@@ -41,6 +44,9 @@ _BLOCK = 1 << 14  # cells of one row of counts
 SALT_ABOVE = 200_000
 RUN_BLOCK = 20_000
 LEADERS = 8
+SETS, GRAMS = 512, 2_000_000  # of a block, about
+_COLUMNS = 4096  # n-grams compared at once
+_PARTS = 32 * 4  # bytes of a set's counts by part of the hash range; its digest stands behind them
 FILTER_WORDS = 1 << 18  # of 64 bits; a fixed size, whatever the corpus
 
 
@@ -67,6 +73,10 @@ def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(x) + len(y) - both)
 
 
+def _digest(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+
+
 def _count_cells(n: int, bits: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, held, size = np.zeros(1 << bits, np.uint32), [], 0
@@ -114,7 +124,7 @@ def _prefixes(n: int, num: int, den: int, bits: int, levels, hot):
     """(doc_id, text) -> per document a row with its size and the equal set met before, and a row per prefix n-gram.
 
     In the first kind ``pos`` is -1, ``token`` spreads the rows, ``rec`` and ``other`` are the document and its equal, and ``spans``
-    counts the n-grams in each 32nd of the hash range.
+    counts the n-grams in each 32nd of the hash range and ends with the set's digest.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,9 +133,8 @@ def _prefixes(n: int, num: int, den: int, bits: int, levels, hot):
             tokens, recs, others, sizes, places, salts, spans = [], [], [], [], [], [], []
             for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
                 grams = shingles(text, n)
-                size, other = len(grams), doc
+                size, other, digest = len(grams), doc, _digest(grams)
                 if size:
-                    digest = hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
                     if len(seen) > 200_000:
                         seen.clear()
                     other = seen.setdefault(digest, doc)
@@ -135,7 +144,7 @@ def _prefixes(n: int, num: int, den: int, bits: int, levels, hot):
                 sizes.append((size, 1))
                 places.append(np.array([-1], np.int32))
                 salts.append(np.zeros(1, np.int32))
-                spans.append(np.bincount((grams >> np.uint64(59)).view(np.int64), minlength=32).astype("<u4").tobytes())
+                spans.append(np.bincount((grams >> np.uint64(59)).view(np.int64), minlength=32).astype("<u4").tobytes() + digest)
                 if size and other == doc:
                     length = size - -(-num * size // den) + 1
                     rare = level[(grams >> np.uint64(64 - bits)).view(np.int64)]
@@ -351,8 +360,116 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
     return cells.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "size", "rec")
 
 
-def jaccard_components(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN, bits: int = CELL_BITS) -> DataFrame:
-    """Link documents whose n-gram sets have a Jaccard similarity of at least ``num / den``; see the module's text."""
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams each two of the sets have in common."""
+    m = len(sets)
+    owner = np.repeat(np.arange(m), [len(x) for x in sets])
+    grams = np.concatenate(sets)
+    order = np.argsort(grams, kind="stable")
+    grams, owner = grams[order], owner[order]
+    fresh = np.concatenate(([True], grams[1:] != grams[:-1]))
+    shared = ~fresh | np.concatenate((~fresh[1:], [False]))
+    owner, column = owner[shared], np.cumsum(fresh[shared]) - 1
+    both = np.zeros((m, m), np.int64)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        a, b = np.searchsorted(column, (start, start + _COLUMNS))
+        has = np.zeros((m, column[b - 1] - start + 1), np.float32)
+        has[owner[a:b], column[a:b] - start] = 1
+        both += (has @ has.T).astype(np.int64)  # exact: sums of at most _COLUMNS ones
+    return both
+
+
+def _link_sums(n: int, num: int, den: int):
+    """Rows sorted by (component, low, high) -> per set ``x`` the number of plain documents in the cell's other sets similar to it.
+
+    A cell has the sets of at most two blocks and compares those of different blocks, or all of one block.  Similar sets of which one
+    is that of a document with several sets are given as (x, y) as well.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, {}
+        for frame in batches(frames, "text"):
+            out = []
+            for comp, low, high, block, digest, plain, several, text in zip(
+                *(frame[c] for c in ("component", "low", "high", "block", "digest", "plain", "several", "text")), strict=True
+            ):
+                if at != (comp, low, high):
+                    out += counted(at, held)
+                    at, held = (comp, low, high), {}
+                if digest not in held:
+                    grams = shingles(None if text is None else zlib.decompress(text).decode(), n)
+                    if _digest(grams) == digest:  # else another text under the same doc_id
+                        held[digest] = (grams, block, plain, several)
+            yield pd.DataFrame(out, columns=["x", "y", "plain"])
+        yield pd.DataFrame(counted(at, held), columns=["x", "y", "plain"])
+
+    def counted(at, held) -> list[tuple]:
+        if len(held) < 2:
+            return []
+        digests, (sets, block, plain, several) = list(held), zip(*held.values(), strict=True)
+        size, block, plain, several = (np.array(x) for x in ([len(x) for x in sets], block, plain, several))
+        both = _overlaps(sets)
+        linked = den * both >= num * (size[:, None] + size[None, :] - both)
+        np.fill_diagonal(linked, False)
+        if at[1] != at[2]:
+            linked &= block[:, None] != block[None, :]
+        sums = linked @ plain
+        apart = [(digests[i], digests[j], 0) for i, j in zip(*np.nonzero(linked & (several[:, None] | several[None, :])), strict=True)]
+        return [(digests[i], None, int(sums[i])) for i in np.flatnonzero(sums)] + apart
+
+    return run
+
+
+def _link_counts(docs: DataFrame, info: DataFrame, joined: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(doc, n_links) of every document that is linked.
+
+    A document with one set is plain, and its links are counted by set.  A document with several, of rows that share a ``doc_id``,
+    is linked where any of its sets is; those few are followed pair by pair, so that none is counted twice.
+    """
+    nodes = joined.select("node", "component").unionByName(joined.select(F.col("component").alias("node"), "component").distinct())
+    own = info.where("size > 0").select(F.col("rec").alias("node"), "digest", "size").distinct().join(nodes, "node")
+    several = F.count("*").over(Window.partitionBy("node")) > 1
+    members = staged(own.select(F.col("node").alias("doc"), "digest", "size", "component", several.alias("several")))
+    sets = staged(members.groupBy("component", "digest").agg(
+        F.min("doc").alias("doc_id"), F.max("size").alias("size"), F.count_if(~F.col("several")).alias("plain"), F.max("several").alias("several")
+    ))
+    blocks = 1 + F.floor(F.greatest(F.count("*") / SETS, F.sum("size") / GRAMS))
+    groups = sets.groupBy("component").agg(F.count("*").alias("k"), blocks.cast("int").alias("blocks")).where("k > 1")
+    block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
+    cells = sets.join(groups, "component").withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    wanted = staged(cells.select(
+        "component", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "digest", "plain", "several", "doc_id"
+    ))
+    texts = _perhaps_among(docs, "doc_id", wanted.select("doc_id")).where("__perhaps").select("doc_id", "text")
+    rows = texts.mapInPandas(_packed, "doc_id long, text binary").join(wanted, "doc_id").drop("doc_id")
+    cell = ["component", "low", "high"]
+    sums = staged(
+        rows.repartition(*cell).sortWithinPartitions(*cell).mapInPandas(_link_sums(n, num, den), "x binary, y binary, plain long")
+    )
+    plain = sets.select("digest", "plain")
+    total = sums.select(F.col("x").alias("digest"), "plain").unionByName(plain).groupBy("digest").agg(F.sum("plain").alias("n"))
+    counts = members.where("not several").join(total, "digest").select("doc", "digest", (F.col("n") - 1).alias("n"))
+    mixed = members.where("several").select("doc", "digest")
+    if not mixed.limit(1).count():
+        return counts.select("doc", F.col("n").alias("n_links"))
+    near = sums.where("y is not null").select("x", "y").unionByName(mixed.select(F.col("digest").alias("x"), F.col("digest").alias("y"))).distinct()
+    far = mixed.select(F.col("doc").alias("other"), F.col("digest").alias("y"))
+    beside = near.join(far, "y").select(F.col("x").alias("digest"), "other").distinct().groupBy("digest").agg(F.count("*").alias("more"))
+    lone = counts.join(beside, "digest", "left").select("doc", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n_links"))
+    around = mixed.join(near, mixed["digest"] == near["x"]).select("doc", "y").distinct()
+    parts = around.join(plain, around["y"] == plain["digest"]).select("doc", F.col("plain").alias("n")).unionByName(
+        around.join(far, "y").where("doc <> other").select("doc", "other").distinct().select("doc", F.lit(1).cast("long").alias("n"))
+    )
+    return lone.unionByName(parts.groupBy("doc").agg(F.sum("n").alias("n_links")))
+
+
+def jaccard_components(
+    docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN, bits: int = CELL_BITS, count_links: bool = True
+) -> DataFrame:
+    """Link documents whose n-gram sets have a Jaccard similarity of at least ``num / den``; see the module's text.
+
+    Without ``count_links`` there is no column ``n_links`` and step 5 is not done.
+    """
     if n < 1 or not 0 < num <= den:
         raise ValueError("n must be positive and the similarity in (0, 1]")
     texts = documents(docs)
@@ -372,6 +489,7 @@ def jaccard_components(docs: DataFrame, n: int = N, num: int = NUM, den: int = D
         _leaders(num, den), "token long, salt int, rec long, size int, pos int, ordinal long, leader long, spans binary"
     ))
     info, runs = table.where("pos < 0"), table.where("pos >= 0")
+    info = info.withColumns({"digest": F.expr(f"substring(spans, {_PARTS + 1}, 16)"), "spans": F.expr(f"substring(spans, 1, {_PARTS})")})
 
     led = runs.where("leader <> rec").select(F.col("leader").alias("a"), F.col("rec").alias("b"))
     salted = runs.where("salt > 0 and leader = rec").groupBy("token", "rec").agg(F.first("size").alias("size"))
@@ -404,19 +522,19 @@ def jaccard_components(docs: DataFrame, n: int = N, num: int = NUM, den: int = D
     rest = _may_link(new, info, num, den)
     more = _verified(keyed, rest, n, num, den)
     if more.limit(1).count():
-        links = links.unionByName(more)
         joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
-    ends = links.select(F.col("a").alias("doc")).unionByName(links.select(F.col("b").alias("doc"))).groupBy("doc").agg(F.count("*").alias("n_links"))
-    out = (
-        info.select(F.col("rec").alias("doc_id"), F.col("size").cast("long").alias("n_shingles"))
-        .join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(ends.withColumnRenamed("doc", "doc_id"), "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    out = info.select(F.col("rec").alias("doc_id"), F.col("size").cast("long").alias("n_shingles")).join(
+        joined.withColumnRenamed("node", "doc_id"), "doc_id", "left"
+    ).withColumn("component_id", F.coalesce("component", "doc_id"))
     none = F.lit(None).cast("long")
     lost = texts.where("doc_id is null").mapInPandas(_sizes(n), "n_shingles long").select(
         none.alias("doc_id"), "n_shingles", none.alias("component_id"), F.lit(0).cast("long").alias("n_links")
     )
-    return out.unionByName(lost)
+    columns = ["doc_id", "n_shingles", "component_id"]
+    if count_links:
+        counts = _link_counts(keyed, info, joined, n, num, den).withColumnRenamed("doc", "doc_id")
+        out, columns = out.join(counts, "doc_id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0))), [*columns, "n_links"]
+    return out.select(*columns).unionByName(lost.select(*columns))
 
 
 def _sizes(n: int):

@@ -138,3 +138,52 @@ def test_jaccard_links_rows_of_different_salts(spark, monkeypatch):
     made = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 2)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in made.collect()), key=str)
     assert got == brute_components(rows, 2, 75, 100)
+
+
+def brute_links(rows, n, num, den):
+    sets = {}
+    for doc, text, *_ in rows:
+        w = (text or "").encode().lower().split()
+        if doc is not None:
+            sets.setdefault(doc, []).append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set()))
+    links = {d: 0 for d in sets}
+    for a in sets:
+        for b in sets:
+            links[a] += a != b and any(x and y and den * len(x & y) >= num * len(x | y) for x in sets[a] for y in sets[b])
+    return sorted(((doc, links.get(doc, 0)) for doc, *_ in rows), key=str)
+
+
+def counted_links(docs, n, **more):
+    return sorted(((r.doc_id, r.n_links) for r in jaccard_join.jaccard_components(docs, n, bits=16, **more).collect()), key=str)
+
+
+def test_jaccard_counts_every_link(spark, monkeypatch):
+    """Copies and near copies of several texts, some ids with several texts; blocks of about three sets."""
+    monkeypatch.setattr(jaccard_join, "SETS", 3)
+    monkeypatch.setattr(jaccard_join, "_COLUMNS", 7)
+    rng = random.Random(6)
+    bases = [[f"b{g}_{i}" for i in range(40)] for g in range(3)]
+    rows = []
+    for k in range(90):
+        text = list(bases[k % 3])
+        for _ in range(rng.randrange(4)):
+            text[rng.randrange(40)] = f"x{rng.randrange(6)}"
+        rows.append((k, " ".join(text)))
+    rows += [(k + 100, rows[k][1]) for k in range(0, 60, 4)]  # exact copies
+    plain = list(rows)
+    for k in (3, 4, 50):  # ids with several texts, of one group and of two
+        rows += [(k, " ".join(bases[0])), (k, " ".join(bases[k % 3][:38] + ["y"])), (k, rows[10][1])]
+    rows += [(500, ""), (3, None), (None, rows[0][1]), (501, "alone here")]
+    for some in (plain, rows):
+        docs = spark.createDataFrame(some, "doc_id long, text string").repartition(5)
+        assert counted_links(docs, 2) == brute_links(some, 2, 75, 100)
+
+
+def test_jaccard_counts_links_of_the_fixture(docs, rows):
+    assert counted_links(docs, 5) == brute_links(rows, 5, 75, 100)
+    assert counted_links(docs.coalesce(1), 5) == brute_links(rows, 5, 75, 100)
+
+
+def test_jaccard_triangle_has_three_links(spark):
+    rows = [(k, " ".join([f"t{i}" for i in range(40)] + [f"own{k}"])) for k in range(3)]
+    assert counted_links(spark.createDataFrame(rows, "doc_id long, text string"), 2) == [(0, 2), (1, 2), (2, 2)]
