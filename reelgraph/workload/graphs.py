@@ -350,6 +350,13 @@ def connected_components(spark, sf_dir):
     return ga.connected_components(dt.entities(spark, sf_dir).select("entity_id"), r)
 
 
+@query("whole_graph_components", "GR2")
+def whole_graph_components(spark, sf_dir):
+    """The component of every vertex over all relations; no SQL, as a recursive one carries every root through the big component."""
+    e, r = dt.entities(spark, sf_dir), dt.relations(spark, sf_dir)
+    return ga.connected_components(ga.vertices_of(e, r), r)
+
+
 @query(
     "component_stats", "GR2",
     sql="""WITH RECURSIVE nb AS (SELECT source_entity AS a, target_entity AS b FROM relations

@@ -337,3 +337,27 @@ def test_build_and_link_graph(spark):
     assert {r["name"] for r in linked.entities.collect()} >= {"Park"}
     assert linked.relations.select("source_entity").distinct().count() == 1
     assert entity_texts(linked).count() == 2
+
+
+def test_whole_graph_components_against_union_find(spark, sf):
+    """All relations count, CONTAINS too."""
+    import __spark_entry__
+    from reelgraph.sources import driver_tables as dt
+
+    e = [x[0] for x in dt.entities(spark, sf).select("entity_id").collect()]
+    r = [tuple(x) for x in dt.relations(spark, sf).select("source_entity", "target_entity", "relation_type").collect()]
+    root = {v: v for v in [*e, *(x for pair in r for x in pair[:2])]}
+
+    def find(v):
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    for a, b, _ in r:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {x.entity_id: x.component for x in __spark_entry__.queries()["whole_graph_components"](spark, sf).collect()}
+    assert got == {v: find(v) for v in root}
+    parts = {a if a.startswith("P") else b for a, b, kind in r if kind == "CONTAINS"}
+    assert parts and all(got[v] != v for v in parts if find(v) != v) and len({got[v] for v in parts}) < len(parts)
