@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelgraph.llm import (
-    hilbert, jaccard_join, language, mixing, packing, substring_dedup, syncmers, token_counts, url_filter, vptree,
+    dialog_repair, hilbert, jaccard_join, language, mixing, packing, pii, spelling, substring_dedup, syncmers, token_counts, url_filter,
+    vptree,
 )
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -184,6 +185,136 @@ SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN more >
 FROM placed
 """
 
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialog_repair.repair_report(dialog_repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
+def _sql_crc32(codes: str) -> str:
+    """crc32 of a list of byte values, bit by bit."""
+    step = "lambda x, i: xor(x >> 1, 3988292384 * (x & 1))"
+    bits = f"list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda z: z::BIGINT)), {step})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {bits}), 4294967295)"
+
+
+def _sql_edit(way: str, cost: str, letter: str, line: str = "") -> str:
+    """A way of the repair, k being its cost in nine digits and its letters, with one edit more and the lines that it writes."""
+    text = f"CASE WHEN {way}.t IS NULL THEN {line} ELSE {way}.t || chr(10) || {line} END" if line else f"{way}.t"
+    key = f"lpad(CAST(CAST(left({way}.k, 9) AS INTEGER) + {cost} AS VARCHAR), 9, '0') || substr({way}.k, 10) || '{letter}'"
+    return f"CASE WHEN {way} IS NOT NULL THEN {{'k': {key}, 't': {text}}} END"
+
+
+def _sql_least(*ways: str) -> str:
+    return f"list_min(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))"
+
+
+def _sql_repair() -> str:
+    keep, rerole = "CASE WHEN cut THEN 1 ELSE 0 END", "CASE WHEN cut THEN 3 ELSE 2 END"
+    own = "m.role || ':' || m.text"
+
+    def stay(way: str, initial: str, role: str) -> list[str]:
+        kept = _sql_edit(f"d.{way}", keep, "K", own)
+        changed = [_sql_edit(f"d.{way}", rerole, "R", f"'{role}:' || m.text")] if role else []
+        return [f"CASE WHEN NOT gone AND c = '{initial}' THEN {kept} END", *(f"CASE WHEN NOT gone THEN {x} END" for x in changed)]
+
+    def dropped(way: str) -> str:
+        return _sql_edit(f"d.{way}", "3", "D")
+
+    user = _sql_least(dropped("s2"), *(x for w in ("s0", "s1", "s3") for x in stay(w, "u", "user")))
+    helper = _sql_least(dropped("s3"), *stay("s2", "a", "assistant"))
+    first = _sql_least(dropped("s1"), *stay("s0", "s", ""))
+    to_user = _sql_least("p2", *(_sql_edit(w, "2", "I", "'user:'") for w in ("p0", "p1", "p3")))
+    to_helper = _sql_least("p3", _sql_edit("s2", "2", "I", "'assistant:'"))
+    key = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+    fate = _sql_crc32(f"list_transform(string_split({key}, ''), lambda ch: ord(ch)::BIGINT)")
+    return rf"""
+WITH RECURSIVE raw AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {fate} % 20 AS fate FROM conversations
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+           CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy
+    FROM raw WHERE fate <> 0
+), ordered AS (
+    SELECT *, row_number() OVER w AS i, left(role, 1) AS c, lag(left(role, 1)) OVER w AS before,
+           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen,
+           NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS open
+    FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
+), marked AS (
+    SELECT *, blank OR seen AS gone, NOT blank AND NOT seen AND open AS cut FROM ordered
+), ways AS (
+    SELECT conv_id, 0::BIGINT AS i, {{'k': '000000000', 't': NULL::VARCHAR}} AS s0, NULL::STRUCT(k VARCHAR, t VARCHAR) AS s1,
+           {{'k': '000000002I', 't': 'user:'}} AS s2, {{'k': '000000004II', 't': 'user:' || chr(10) || 'assistant:'}} AS s3
+    FROM (SELECT DISTINCT conv_id FROM marked)
+    UNION ALL
+    SELECT conv_id, i, p0, p1, s2, {to_helper} FROM (SELECT *, {to_user} AS s2 FROM (
+        SELECT m.conv_id, m.i, {dropped("s0")} AS p0, {first} AS p1, {user} AS p2, {helper} AS p3
+        FROM ways d JOIN marked m ON m.conv_id IS NOT DISTINCT FROM d.conv_id AND m.i = d.i + 1))
+), counts AS (
+    SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (blank) AS blank, count(*) FILTER (seen AND NOT blank) AS duplicate, count(*) FILTER (cut) AS truncated,
+           count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM marked GROUP BY conv_id
+), ended AS (
+    SELECT c.*, {_sql_least("w.s0", "w.s3")} AS way FROM counts c JOIN ways w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = c.n
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(CAST(left(way.k, 9) AS BIGINT), 0) AS cost,
+       coalesce(substr(way.k, 10), '') AS audit, sha256(coalesce(way.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+SQL11 = _sql_repair()
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_BYTES = """flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r, ''), lambda ch:
+    CASE WHEN ord(ch) < 128 THEN [ord(ch)::BIGINT] ELSE [(192 | (ord(ch) >> 6))::BIGINT, (128 | (ord(ch) & 63))::BIGINT] END))"""
+
+SQL12 = rf"""
+WITH RECURSIVE runs AS (
+    SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents
+), hashed AS (
+    SELECT r, n, length(r) AS size, {_sql_crc32(_BYTES)} AS h
+    FROM (SELECT doc_id, r, count(*) AS n FROM runs WHERE length(r) >= 5 GROUP BY doc_id, r)
+), words AS (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n
+    FROM (SELECT CASE WHEN h % 97 = 0 THEN left(r, h % size) || substr(r, h % size + 2) ELSE r END AS word, n FROM hashed)
+    WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), cut AS (
+    SELECT word, n, p, left(word, p - 1) || substr(word, p + 1) AS rest
+    FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words)
+), near AS (
+    SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+    UNION
+    SELECT cut.word, words.word, words.n FROM cut JOIN words ON cut.rest = words.word
+    UNION
+    SELECT words.word, cut.word, cut.n FROM cut JOIN words ON cut.rest = words.word
+), best AS (
+    SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word
+), forms AS (
+    SELECT words.word, CASE WHEN m >= 2 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN m END AS form_n
+    FROM words LEFT JOIN best USING (word)
+), walk AS (
+    SELECT word, word AS root FROM forms
+    UNION ALL
+    SELECT walk.word, forms.form FROM walk JOIN forms ON forms.word = walk.root AND forms.form IS NOT NULL
+), last AS (
+    SELECT walk.word, root FROM walk JOIN forms ON forms.word = walk.root AND forms.form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN last USING (word)
+"""
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"), pii.fit(pii.labelled_table(spark)))
+
+
 QUERIES: dict[str, tuple[Run, str | None]] = {
     "op1_packing": (op1_packing, None),
     "op2_language_id": (op2_language_id, None),
@@ -195,4 +326,7 @@ QUERIES: dict[str, tuple[Run, str | None]] = {
     "op8_sharding": (op8_sharding, None),
     "op9_vantage_point_trees": (op9_vantage_point_trees, SQL9),
     "op10_mixing": (op10_mixing, SQL10),
+    "op11_conversation_repair": (op11_conversation_repair, SQL11),
+    "op12_spelling_variants": (op12_spelling_variants, SQL12),
+    "op13_pii": (op13_pii, None),
 }
