@@ -117,19 +117,29 @@ def near_pairs(words: DataFrame) -> DataFrame:
         F.posexplode(F.array(*_signatures("word", F.col("size"), False), *_signatures("word", F.col("size") - 1, True))).alias("place", "key"),
     )
     near = (F.char_length("a") < F.char_length("b")) | (F.col("a") < F.col("b"))
-    joined = chunks.join(grams, "key").where((F.col("place") % 4 == F.col("path")) & near).where(F.levenshtein("a", "b", 1) == 1)
-    return joined.where(_first_path()).select("a", "n_a", "b", "n_b")
+    joined = chunks.join(grams, "key").where((F.col("place") % 4 == F.col("path")) & near)
+    return joined.where(_verified()).select("a", "n_a", "b", "n_b")
 
 
-def _first_path() -> Column:
-    """Whether the key is the first of the four that fits the pair."""
-    half = F.floor(F.char_length("a") / 2).cast("int")
-    in_rest = F.col("path") < 2  # the first half is whole, the edit in the rest
-    other = F.when(in_rest, F.char_length("a") - half).otherwise(half)
+def _verified() -> Column:
+    """Whether a pair is one edit apart and its key the first of the four that fits.
+
+    What lies around the spoiled quarter must be equal; the edit distance is taken of that quarter alone, so long words cost little.
+    """
+    size = F.char_length("a")
+    more = F.char_length("b") - size
+    half = F.floor(size / 2).cast("int")
+    in_rest, in_last = F.col("path") < 2, F.col("path") % 2 == 0  # where the edit is: in the second half, in its half's second quarter
+    other = F.when(in_rest, size - half).otherwise(half)
     start, quarter = F.when(in_rest, half).otherwise(F.lit(0)), F.floor(other / 2).cast("int")
     same_half = _part("a", F.lit(0), half) == _part("b", F.lit(0), half)
     same_quarter = _part("a", start, quarter) == _part("b", start, quarter)
-    return (in_rest == same_half) & ((F.col("path") % 2 == 0) == same_quarter)
+    at = F.when(in_last, start + quarter).otherwise(start)
+    length = F.when(in_last, other - quarter).otherwise(quarter)
+    before = _part("a", F.lit(0), at) == _part("b", F.lit(0), at)
+    after = _part("a", at + length, size) == _part("b", at + length + more, size)
+    edit = F.levenshtein(_part("a", at, length), _part("b", at, length + more), 1) == 1
+    return (in_rest == same_half) & (in_last == same_quarter) & before & after & edit
 
 
 def variants(words: DataFrame, factor: int = FACTOR) -> DataFrame:
