@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -38,39 +37,63 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered for up to ``limit`` words of a worker."""
+_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
 
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
 
-    def __missing__(self, word: bytes) -> int:
-        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(self) < self.limit and len(word) <= 64:
-            self[word] = value
-        return value
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values that spreads every input bit."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
+_STEP = 0xD1342543DE82EF95  # odd
+_CHUNK = 1 << 16
+_CODES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_CODES[_BLANK] = 0
+_LOWER = _CODES.copy()
+_LOWER[65:91] = _CODES[97:123]
 
-_HASHES = WordHashes()
 
+def _powers(step: int, count: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(count, step, np.uint64))))
 
-def hash_words(words: list[bytes]) -> np.ndarray:
-    """Hashes from the worker's own store, which lives from task to task."""
-    return _HASHES.of(words)
 
+_UP, _DOWN = _powers(_STEP, _CHUNK), _powers(pow(_STEP, -1, 1 << 64), _CHUNK)
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
 
+def _hashed(raw: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Hashes of the words of one piece: sums of byte codes times powers, read off one running sum."""
+    up, down = (_UP, _DOWN) if len(raw) <= _CHUNK else (_powers(_STEP, len(raw)), _powers(pow(_STEP, -1, 1 << 64), len(raw)))
+    blank = np.concatenate(([True], _BLANK[raw], [True]))
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(codes[raw] * up[: len(raw)], out=total[1:])
+    start, end = edges[::2], edges[1::2]
+    return mixed((total[end] - total[start]) * down[start])
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit values that spreads every input bit."""
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+
+def word_hashes(text: str | None, lower: bool = False) -> np.ndarray:
+    """64-bit hashes of a text's words, in their order; ``lower`` takes A-Z as a-z.
+
+    The whole text goes through numpy, in pieces that end between words, so memory is bounded but for single words of that length.
+    """
+    raw = np.frombuffer(text.encode(), np.uint8) if text else np.empty(0, np.uint8)
+    codes, parts, at = _LOWER if lower else _CODES, [], 0
+    while at < len(raw):
+        end = min(at + _CHUNK, len(raw))
+        while end < len(raw) and not _BLANK[raw[end]]:
+            back = np.flatnonzero(_BLANK[raw[at:end]])
+            if len(back):
+                end = at + int(back[-1])
+            else:  # one word fills the piece
+                more = np.flatnonzero(_BLANK[raw[end : end + _CHUNK]])
+                end = min(end + (int(more[0]) if len(more) else _CHUNK), len(raw))
+        parts.append(_hashed(raw[at : end + 1], codes))
+        at = end + 1
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -30,11 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reelgraph.llm.common import batches, documents, gram_hashes, hash_words, staged
+from reelgraph.llm.common import batches, documents, gram_hashes, slices, staged, word_hashes
 from reelgraph.llm.components import components
 
 N = 5
@@ -52,11 +53,10 @@ FILTER_WORDS = 1 << 18  # of 64 bits; a fixed size, whatever the corpus
 
 def grams_of(text: str | None, n: int) -> np.ndarray:
     """The 64-bit hashes of the text's n-grams, in their order and with repeats."""
-    words = text.encode().lower().split() if text else []  # bytes.lower() changes A-Z only
-    if not words:
-        return np.empty(0, np.uint64)
-    hashes = hash_words(words)
-    return gram_hashes(hashes, n) if len(words) >= n else gram_hashes(hashes + np.uint64(len(words)), len(words))
+    words = word_hashes(text, lower=True)
+    if not len(words):
+        return words
+    return gram_hashes(words, n) if len(words) >= n else gram_hashes(words + np.uint64(len(words)), len(words))
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -78,21 +78,27 @@ def _digest(grams: np.ndarray) -> bytes:
 
 
 def _count_cells(n: int, bits: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, size = np.zeros(1 << bits, np.uint32), [], 0
-        for frame in batches(frames, "text"):
-            for text in frame["text"]:
+
+        def add() -> None:
+            np.add(counts, np.bincount((np.concatenate(held) >> np.uint64(64 - bits)).view(np.int64), minlength=1 << bits), out=counts, casting="unsafe")
+            held.clear()
+
+        for table in slices(tables):
+            for text in table.column("text").to_pylist():
                 held.append(grams_of(text, n))
                 size += len(held[-1])
-                if size > 3_000_000:
-                    counts += np.bincount((np.concatenate(held) >> np.uint64(64 - bits)).view(np.int64), minlength=1 << bits).astype(np.uint32)
-                    held, size = [], 0
+                if size > 1_000_000:
+                    add()
+                    size = 0
         if held:
-            counts += np.bincount((np.concatenate(held) >> np.uint64(64 - bits)).view(np.int64), minlength=1 << bits).astype(np.uint32)
+            add()
         for block in range(0, 1 << bits, _BLOCK):
             part = counts[block : block + _BLOCK]
             if part.any():
-                yield pd.DataFrame({"block": [block // _BLOCK], "counts": [zlib.compress(part.tobytes(), 1)]})
+                row = [pa.array([block // _BLOCK], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(row, names=["block", "counts"])
 
     return run
 
@@ -113,7 +119,7 @@ def cell_counts(docs: DataFrame, n: int = N, bits: int = CELL_BITS) -> np.ndarra
     Repeats inside a document count, which saves sorting every set twice: a count only orders n-grams and bounds a cell's sets.
     """
     schema = "block int, counts binary"
-    rows = docs.select("text").mapInPandas(_count_cells(n, bits), schema).repartition("block").mapInPandas(_add_cells, schema).collect()
+    rows = docs.select("text").mapInArrow(_count_cells(n, bits), schema).repartition("block").mapInPandas(_add_cells, schema).collect()
     counts = np.zeros(1 << bits, np.uint64)
     for row in rows:
         counts[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(zlib.decompress(row["counts"]), np.uint64)
@@ -127,41 +133,40 @@ def _prefixes(n: int, num: int, den: int, bits: int, levels, hot):
     counts the n-grams in each 32nd of the hash range and ends with the set's digest.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["token", "salt", "rec", "size", "pos", "other", "spans"]
+
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = levels.value, {}
-        for frame in batches(frames, "text"):
-            tokens, recs, others, sizes, places, salts, spans = [], [], [], [], [], [], []
-            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
+        for table in slices(tables, size=2_000_000):
+            own, spans, found = [], [], []
+            for doc, text in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True):
                 grams = shingles(text, n)
                 size, other, digest = len(grams), doc, _digest(grams)
                 if size:
-                    if len(seen) > 200_000:
+                    if len(seen) > 100_000:
                         seen.clear()
                     other = seen.setdefault(digest, doc)
-                tokens.append(np.array([doc], np.int64))
-                recs.append((doc, 1))
-                others.append(np.array([other], np.int64))
-                sizes.append((size, 1))
-                places.append(np.array([-1], np.int32))
-                salts.append(np.zeros(1, np.int32))
+                own.append((doc, size, other))
                 spans.append(np.bincount((grams >> np.uint64(59)).view(np.int64), minlength=32).astype("<u4").tobytes() + digest)
                 if size and other == doc:
                     length = size - -(-num * size // den) + 1
                     rare = level[(grams >> np.uint64(64 - bits)).view(np.int64)]
                     first = np.argsort(rare, kind="stable")[:length]
-                    tokens.append(grams[first].view(np.int64))
-                    recs.append((doc, length))
-                    others.append(np.zeros(length, np.int64))
-                    sizes.append((size, length))
-                    places.append(np.arange(length, dtype=np.int32))
-                    spans.extend([None] * length)
-                    salts.append((1 + (doc % hot[rare[first]])).astype(np.int32) * (hot[rare[first]] > 1))
-            spread = lambda pairs, kind: np.repeat(np.array([x for x, _ in pairs], kind), [k for _, k in pairs])
-            yield pd.DataFrame({
-                "token": np.concatenate(tokens), "salt": np.concatenate(salts).astype(np.int32), "rec": spread(recs, np.int64),
-                "size": spread(sizes, np.int32), "pos": np.concatenate(places), "other": np.concatenate(others),
-                "spans": spans,
-            })
+                    salts = (1 + (doc % hot[rare[first]])) * (hot[rare[first]] > 1)
+                    found.append((doc, size, grams[first].view(np.int64), salts.astype(np.int32)))
+            docs, sizes, others = (np.array(c, np.int64) for c in zip(*own, strict=True))
+            nothing, ones = np.zeros(len(own), np.int32), np.full(len(own), -1, np.int32)
+            columns = [docs, nothing, docs, sizes.astype(np.int32), ones, others, pa.array(spans, pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+            if found:
+                docs, sizes, tokens, salts = zip(*found, strict=True)
+                lengths = [len(t) for t in tokens]
+                places = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
+                columns = [
+                    np.concatenate(tokens), np.concatenate(salts), np.repeat(np.array(docs, np.int64), lengths),
+                    np.repeat(np.array(sizes, np.int32), lengths), places, np.zeros(len(places), np.int64), pa.nulls(len(places), pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     return run
 
@@ -481,7 +486,7 @@ def jaccard_components(
     steps = np.arange(level.max() + 2)
     hot = np.maximum(1, np.ceil(2 ** ((steps + 1) / 8) / SALT_ABOVE)).astype(np.int64)
     levels = spark.sparkContext.broadcast(level)
-    rows = keyed.mapInPandas(
+    rows = keyed.mapInArrow(
         _prefixes(n, num, den, bits, levels, hot), "token long, salt int, rec long, size int, pos int, other long, spans binary"
     )
     sorted_rows = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "pos", "rec")

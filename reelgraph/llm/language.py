@@ -174,21 +174,27 @@ def train(labelled: DataFrame, bits: int = BITS, per_language: int = PER_LANGUAG
     return Model(languages, weights.astype(np.float32), idf, heat, bits)
 
 
-def _predict(model):
+def _predict(model, column: str, drop: tuple[str, ...]):
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in slices(tables, "__text"):
-            found = [model.value.predict(t) for t in table.column("__text").to_pylist()]
-            yield extended(table, ("__text",), lang_pred=pa.array([x for x, _ in found], pa.string()), score=pa.array([x for _, x in found], pa.float64()))
+        for table in slices(tables, column):
+            found = [model.value.predict(t) for t in table.column(column).to_pylist()]
+            yield extended(table, drop, lang_pred=pa.array([x for x, _ in found], pa.string()), score=pa.array([x for _, x in found], pa.float64()))
 
     return run
 
 
 def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """The columns ``keep`` of every row with lang_pred and score.  Only the text takes part in a prediction."""
+    """The columns ``keep`` of every row with lang_pred and score.  Only the text takes part in a prediction.
+
+    A string column ``text`` that is kept goes to the tasks once.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*[F.col(f"`{c}`") for c in keep])
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__text")).mapInArrow(_predict(sent), schema)
+    if "text" in keep and docs.schema["text"].dataType == T.StringType():
+        return kept.mapInArrow(_predict(sent, "text", ()), schema)
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__text"))
+    return rows.mapInArrow(_predict(sent, "__text", ("__text",)), schema)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelgraph.llm.common import batches, extended, gram_hashes, hash_words, slices, staged, words_of
+from reelgraph.llm.common import batches, extended, gram_hashes, slices, staged, word_hashes, words_of
 
 WINDOW = 50
 PREFIX = 16
@@ -60,10 +60,10 @@ def _find_anchors(window: int, prefix: int):
         for frame in batches(frames, "text"):
             rows = []
             for doc, fp, text in zip(frame["__id"], frame["__fp"], frame["text"], strict=True):
-                words = words_of(text)
+                words = word_hashes(text)
                 if len(words) < window:
                     continue
-                digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+                digest = hashlib.blake2b(words.tobytes(), digest_size=16).digest()
                 first = seen.get(digest)
                 if first is not None and first <= doc:
                     if first < doc:
@@ -72,7 +72,7 @@ def _find_anchors(window: int, prefix: int):
                 elif first is None and len(seen) > 200_000:
                     seen.clear()
                 seen[digest] = doc
-                at, grams, _, _ = _anchors(hash_words(words), window, prefix)
+                at, grams, _, _ = _anchors(words, window, prefix)
                 rows.append((doc, fp, False, grams.view(np.int64), at.astype(np.int32)))
             yield pd.DataFrame(rows, columns=["__id", "__fp", "copy", "grams", "at"])
 
@@ -86,7 +86,7 @@ def _suffixes(window: int, prefix: int):
         for frame in batches(frames, "text", 1_000_000):
             rows = []
             for doc, fp, text, wanted in zip(frame["__id"], frame["__fp"], frame["text"], frame["at"], strict=True):
-                words = hash_words(words_of(text))
+                words = word_hashes(text)
                 at, grams, first, last = _anchors(words, window, prefix)
                 for k in np.flatnonzero(np.isin(at, wanted)).tolist():
                     rows.append((int(grams[k].view(np.int64)), doc, fp, int(first[k]), words[first[k] : last[k] + window].tobytes()))
@@ -101,7 +101,7 @@ def _long_prefixes(window: int, prefix: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches(frames, "text", 1_000_000):
             for doc, fp, text, wanted in zip(frame["__id"], frame["__fp"], frame["text"], frame["at"], strict=True):
-                words = hash_words(words_of(text))
+                words = word_hashes(text)
                 at, _, first, last = _anchors(words, window, prefix)
                 key, other = gram_hashes(words, window).view(np.int64), gram_hashes(~words, window).view(np.int64)
                 starts = np.concatenate([np.arange(first[k], last[k] + 1) for k in np.flatnonzero(np.isin(at, wanted))])
