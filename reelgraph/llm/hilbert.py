@@ -28,12 +28,14 @@ SHARDS = 16
 
 
 def ordinal(column: str, kind: str) -> Column:
-    """An order-keeping number for a dimension; of strings, their first six bytes.  Null is -1."""
+    """An order-keeping number for a dimension; of strings, their first six bytes.  Null comes before every number."""
     if kind == "string":
         number = F.conv(F.rpad(F.substring(F.hex(F.col(column)), 1, 12), 12, "0"), 16, 10).cast("double")
+    elif kind == "date":
+        number = F.unix_date(column).cast("double")
     else:
         number = F.col(column).cast("double")
-    return F.coalesce(number, F.lit(-1.0))
+    return F.coalesce(number, F.lit(-1.7e308))
 
 
 def hilbert_index(axes: Sequence[Column], bits: int) -> Column:

@@ -3,7 +3,7 @@
 * Features: hashed runs of 1 to 3 characters of the lower-cased text, weighted (1 + log count) * idf and scaled to length one.
 * Corpus statistics (document frequencies, languages and their counts) cover every labelled training row.
 * The weights are fitted by follow-the-regularised-leader (FTRL-proximal) steps with elastic-net penalties: the L1 part keeps most
-  weights at exactly zero.  Fitting uses at most ``per_language`` rows of each language, those with the smallest hash of their text:
+  weights at exactly zero.  Fitting uses at most ``per_language`` rows of each language, those with the smallest hash of text and id:
   a bounded sample of labelled rows.  A fifth of it is kept from the fit and sets the temperature that calibrates the scores.
 * Prediction reads every whole text.
 
@@ -146,8 +146,12 @@ def _fit(languages: list[str], idf: np.ndarray, bits: int):
 
 def train(labelled: DataFrame, bits: int = BITS, per_language: int = PER_LANGUAGE) -> Model:
     """Learn from the (text, lang) rows; rows without text or language are left out."""
-    rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
+    own = [F.col("doc_id").cast("string")] if "doc_id" in labelled.columns else []
+    rows = labelled.select(
+        F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text", *own, F.lit(7)).alias("at")
+    ).where("text is not null and lang is not null")
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("at").alias("places")).collect()  # one row per language
+    counts, places = ({r["lang"]: r[c] for r in found} for c in ("n", "places"))
     languages = sorted(counts)
     frequency = np.zeros(1 << bits)
     total = sum(counts.values())
@@ -157,15 +161,13 @@ def train(labelled: DataFrame, bits: int = BITS, per_language: int = PER_LANGUAG
     idf = np.log((1 + total) / (1 + frequency)) + 1
     weights, heat = np.zeros((1 << bits, len(languages))), 1.0
     if languages:
-        # about twice the wanted rows by hash, in each task; then exactly the wanted ones
-        shares = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, 2.0 * per_language / counts[lang]))])
-        place = F.xxhash64("text", F.lit(7))
-        near = rows.withColumn("at", place).where(
-            F.pmod("at", F.lit(1 << 20)) < F.ceil(F.element_at(shares, F.col("lang")) * (1 << 20))
-        )
+        # about twice the wanted rows by the hash of text and id, in each task, or all; then exactly the wanted ones.  The share goes by
+        # different hashes, so rows that are all equal are taken together and none of a language's is never the outcome
+        shares = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, 2.5 * per_language / max(1, places[lang])) if places[lang] > 100 else 1.0)])
+        near = rows.where(F.pmod("at", F.lit(1 << 20)) < F.ceil(F.element_at(shares, F.col("lang")) * (1 << 20)))
         first = Window.partitionBy("lang").orderBy(F.pmod("at", F.lit(1 << 20)), "at", "text")
         sample = near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language)
-        fitted = sample.select("text", "lang", F.pmod(F.shiftright("at", 24), F.lit(FOLDS)).cast("int").alias("fold")).coalesce(1)
+        fitted = sample.select("text", "lang", (F.col("k") % FOLDS).cast("int").alias("fold")).coalesce(1)  # a language's first rows are always fitted
         for r in staged(fitted.mapInPandas(_fit(languages, idf, bits), "cell int, w array<double>")).collect():  # the model: of fixed size
             if r["cell"] < 0:
                 heat = r["w"][0]

@@ -26,7 +26,7 @@ from reelgraph.llm.common import documents, extended, slices, staged
 GROUP = 16_384
 MAX_TOKENS = 2_048
 MAX_SEGMENTS = 256
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 
 def dot_product_pack(demands: np.ndarray, capacity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -151,7 +151,7 @@ def _tree_marks(group: pd.DataFrame, window: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["__id", "__fp", "from", "to"])
 
 
-def _subtrees(window: int, budget: int = 1_500_000):
+def _subtrees(window: int, budget: int = 500_000):
     """Rows sorted by key -> marks.  Whole keys are gathered up to ``budget`` words, one memory-sized group after the other."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,31 +183,39 @@ def _subtrees(window: int, budget: int = 1_500_000):
     return run
 
 
-def _cut(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the numbers of words and of removed words, and the kept words joined by one space."""
-    for table in slices(tables):
-        rows = []
-        for text, copy, spans in zip(*(table.column(c).to_pylist() for c in ("text", "copy", "spans")), strict=True):
-            words = words_of(text)
-            kept = words
-            if copy:
-                kept = []
-            elif spans:
-                gone = np.zeros(len(words) + 1, np.int32)
-                for x in spans:
-                    gone[x["from"]] += 1
-                    gone[x["to"]] -= 1
-                kept = [w for w, n in zip(words, np.cumsum(gone[:-1]).tolist(), strict=True) if not n]
-            rows.append((len(words), len(words) - len(kept), b" ".join(kept).decode()))
-        columns = list(zip(*rows, strict=True))
-        yield extended(
-            table, ("copy", "spans"), n_words=pa.array(columns[0], pa.int64()), n_removed=pa.array(columns[1], pa.int64()),
-            kept=pa.array(columns[2], pa.string()),
-        )
-
-
-def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """Return (doc_id, text, rest, n_words, n_removed, kept_text), one row per row; ``rest`` is a struct of all other columns."""
+def _cut(whole: bool):
+    """Adds the numbers of words and of removed words, and the kept words joined by one space; with ``whole`` an unchanged text stays as it is."""
+
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in slices(tables, size=2_000_000):
+            total, gone, kept = [], [], []
+            for text, copy, spans in zip(*(table.column(c).to_pylist() for c in ("text", "copy", "spans")), strict=True):
+                words = words_of(text)
+                total.append(len(words))
+                if copy:
+                    gone.append(len(words))
+                    kept.append("")
+                    continue
+                if spans:
+                    edges = np.zeros(len(words) + 1, np.int32)
+                    for x in spans:
+                        edges[x["from"]] += 1
+                        edges[x["to"]] -= 1
+                    words = [w for w, n in zip(words, np.cumsum(edges[:-1]).tolist(), strict=True) if not n]
+                gone.append(total[-1] - len(words))
+                kept.append(text if whole and not gone[-1] else b" ".join(words).decode())
+            yield extended(
+                table, ("text", "copy", "spans"), n_words=pa.array(total, pa.int64()), n_removed=pa.array(gone, pa.int64()), kept=pa.array(kept, pa.string())
+            )
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_limit: int = GROUP_LIMIT, whole: bool = False) -> DataFrame:
+    """Return (doc_id, rest, n_words, n_removed, kept_text), one row per row; ``rest`` is a struct of all columns but id and text.
+
+    With ``whole`` a text that loses nothing is given as it is, null included, else as its words joined by one space.
+    """
     if not 1 <= prefix <= window:
         raise ValueError("prefix must be 1 to window words long")
     text = F.col("text").cast("string")
@@ -252,5 +260,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     )
     out = table.join(changes, ["__id", "__fp"], "left").select("__id", "text", "rest", "copy", "spans")
     numbers = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
-    made = out.mapInArrow(_cut, T.StructType([*(table.schema[c] for c in ("__id", "text", "rest")), *numbers]))
-    return made.select(F.col("__id").alias("doc_id"), "text", "rest", "n_words", "n_removed", F.col("kept").alias("kept_text"))
+    made = out.mapInArrow(_cut(whole), T.StructType([*(table.schema[c] for c in ("__id", "rest")), *numbers]))
+    return made.select(F.col("__id").alias("doc_id"), "rest", "n_words", "n_removed", F.col("kept").alias("kept_text"))

@@ -4,7 +4,8 @@ A text's units are its words, longer ones in parts of ``UNIT`` characters.  Of e
 hash is looked for; the run is an anchor if that unit is its first or its last.  Whether a run is an anchor depends on the run alone, not
 on what stands around it, so a change in one place leaves all anchors elsewhere.  The fingerprint is the anchors' hashes in the order of
 the text, each once; the likeness of two fingerprints is the number of common anchors divided by the number of anchors of the
-larger one.  A text with fewer than ``K`` units is its own only anchor, and a blank text has none.
+larger one.  A text with fewer than ``K`` units is its own only anchor, a text in which no run qualifies has the run of least hash, and only
+a blank text has none.
 
 ``with_next`` adds to each document the text of the next one in the order of doc_id.  Texts are dealt once, by slices of the range of
 ids; the first document of a slice also goes to the slice before it, so nothing needs all ids in one task.
@@ -33,9 +34,11 @@ def unit_hashes(text: str) -> Column:
 
 def anchors(text: str, hashes: str, k: int = K) -> Column:
     """Distinct anchors, as ints, from a column of ``unit_hashes``."""
-    chosen = f"""array_distinct(transform(
-        filter(sequence(0, size({hashes}) - {k}), i -> array_min(slice({hashes}, i + 1, {k})) IN ({hashes}[i], {hashes}[i + {k - 1}])),
-        i -> hash(slice({hashes}, i + 1, {k}))))"""
+    runs = f"sequence(0, size({hashes}) - {k})"
+    named = f"i -> hash(slice({hashes}, i + 1, {k}))"
+    closed = f"i -> array_min(slice({hashes}, i + 1, {k})) IN ({hashes}[i], {hashes}[i + {k - 1}])"
+    chosen = f"""CASE WHEN exists({runs}, {closed}) THEN array_distinct(transform(filter({runs}, {closed}), {named}))
+                 ELSE array(array_min(transform({runs}, {named}))) END"""
     return F.expr(f"CASE WHEN size({hashes}) >= {k} THEN {chosen} WHEN size({hashes}) > 0 THEN array(hash({text})) ELSE cast(array() AS array<int>) END")
 
 

@@ -52,6 +52,16 @@ def test_stages(spark, docs, rows, sf):
     assert sorted((r.doc_id for r in packed if r.start == 0), key=str) == sorted((r.doc_id for r in after[4].collect()), key=str)
 
 
+def test_texts_under_one_id_are_judged_each(spark, docs):
+    """Of two unrelated texts under one id, one of which is a copy, only the copy goes; of equal rows one stays."""
+    a, b, c = ("one two three four five six seven", "red green blue white black grey pink", "sun moon star sky cloud rain snow")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (4, a), (None, a), (None, a)]
+    table = spark.createDataFrame([(k, t, "en", "s", len(t), *[None] * 5) for k, t in rows], docs.schema)
+    left = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, table, "").collect()), key=str)
+    assert sorted(t for d, t in left if d is not None) == sorted([a, b, c]) and sum(d is None for d, _ in left) == 2
+    assert (2, b) in left
+
+
 def test_pipeline_runs(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
 
