@@ -22,23 +22,33 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; of rows that share an id one."""
-    others = jaccard_join.jaccard_components(docs, count_links=False).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
-    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
-    if ids.where("n > 1").limit(1).count():
-        first = Window.partitionBy("doc_id").orderBy(*docs.columns)
-        lone = kept.where("doc_id is not null").withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
-        kept = lone.unionByName(kept.where("doc_id is null"))
-    return kept
+    """Of each group of linked texts the one with the smallest id; of rows that share id and text one.
+
+    Where an id has several texts, each is judged by itself: all but the first get a number of their own, from the hash of id and text.
+    """
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1")
+    if not ids.limit(1).count():
+        return docs.join(_linked(docs, "doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    same, place = Window.partitionBy("doc_id", "text").orderBy(*docs.columns), Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    lone = docs.where("doc_id is not null").withColumn("__k", F.row_number().over(same)).where("__k = 1")
+    own = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), "text"), 2) + F.lit(1 << 62)
+    key = F.when(F.row_number().over(place) == 1, F.col("doc_id")).otherwise(own)
+    keyed = staged(lone.withColumn("__key", key).drop("__k"))
+    kept = keyed.join(_linked(keyed, "__key"), "__key", "left_anti").select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
+def _linked(docs: DataFrame, key: str) -> DataFrame:
+    """The keys of the documents that are linked to one with a smaller key."""
+    found = jaccard_join.jaccard_components(docs.select(F.col(key).alias("doc_id"), "text"), count_links=False)
+    return found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document has; a text of which nothing is left goes."""
-    made = substring_dedup.remove_repeats(docs).where("n_removed = 0 OR n_removed < n_words")
-    changed = F.col("n_removed") > 0
-    text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
-    columns = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.when(changed, F.char_length("kept_text")).otherwise(F.col("rest.n_chars"))}
+    made = substring_dedup.remove_repeats(docs, whole=True).where("n_removed = 0 OR n_removed < n_words")
+    n_chars = F.when(F.col("n_removed") > 0, F.char_length("kept_text")).otherwise(F.col("rest.n_chars"))
+    columns = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": n_chars}
     return made.select(*[columns.get(c, F.col(f"rest.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
