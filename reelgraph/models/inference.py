@@ -69,6 +69,25 @@ def apply_model(model: Model, column: Column) -> Column:
     return F.pandas_udf(run, model.output)(column)
 
 
+def apply_model_to_each(model: Model, column: Column) -> Column:
+    """The model's outputs for the elements of an array column, in their order; a batch may span rows."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for values in batches:
+            flat = [v for row in values if row is not None for v in row]
+            some = [i for i, v in enumerate(flat) if v is not None]
+            out: list = [None] * len(flat)
+            for i, result in zip(some, _call(model, [flat[i] for i in some]), strict=True):
+                out[i] = result
+            rows, at = [], 0
+            for row in values:
+                rows.append(None if row is None else out[at : at + len(row)])
+                at += 0 if row is None else len(row)
+            yield pd.Series(rows, dtype=object)
+
+    return F.pandas_udf(run, T.ArrayType(model.output))(column)
+
+
 def hashing_embedder(size: int = 64) -> Model:
     """Offline text embedding: signed hashed words, L2-normalised.  Equal texts give equal vectors."""
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 def load_all():
     """Import every query module so that the registry is complete."""
     from reelgraph.workload import (  # noqa: F401
-        cluster, conversations, graphs, media, metadata, retrieval, scalars, upkeep, vectors,
+        cluster, conversations, graphs, ingest, media, metadata, retrieval, scalars, upkeep, vectors,
     )
     from reelgraph.workload.registry import REGISTRY
 
