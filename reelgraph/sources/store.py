@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from reelgraph.schema import GRAPH_TABLES, METADATA_TABLES
-from reelgraph.session import cut_lineage
+from reelgraph.sources import graph_commits
 
 
 def create_tables(spark: SparkSession, database: str = "default", buckets: int | None = None, location: str | None = None) -> None:
@@ -168,31 +168,18 @@ def register_videos(known: DataFrame, offered: DataFrame, formats: tuple[str, ..
 
 
 def delete_graph(spark: SparkSession, path: str, *graph_ids: str) -> None:
-    """Remove stored graphs, all their tables."""
-    from reelgraph.sources.exchange import remove
-
-    for name in GRAPH_TABLES:
-        for graph_id in graph_ids:
-            remove(spark, f"{path}/{name}", "graph_id", graph_id)
+    """Remove stored graphs, all their tables, by one commit."""
+    graph_commits.delete(spark, path, *graph_ids)
 
 
 def save_graph(tables: dict[str, DataFrame], path: str) -> None:
-    """Write graph tables partitioned by graph; only the graphs given are replaced, also where a table has become empty."""
-    given = next(iter(tables.values())).sparkSession
-    ids = {r["graph_id"] for df in tables.values() for r in df.select("graph_id").distinct().collect()}  # a few names
-    tables = {name: cut_lineage(df) for name, df in tables.items()}  # they may be read from what is removed
-    delete_graph(given, path, *sorted(i for i in ids if i is not None))
-    for name, df in tables.items():
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("graph_id").parquet(f"{path}/{name}")
+    """Replace the graphs given by one commit, also where a table has become empty; see ``graph_commits``."""
+    graph_commits.save(tables, path)
 
 
 def load_graph(spark: SparkSession, path: str, graph_id: str | None = None) -> dict[str, DataFrame]:
-    """Graph tables; one graph reads its own partitions only."""
-    out = {}
-    for name, schema in GRAPH_TABLES.items():
-        df = spark.read.schema(schema).parquet(f"{path}/{name}")
-        out[name] = df.filter(F.col("graph_id") == graph_id) if graph_id else df
-    return out
+    """Graph tables as of the newest commit; one graph reads its own partitions only."""
+    return graph_commits.load(spark, path, graph_id)
 
 
 def list_graphs(entities: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from reelgraph.functions import ids
 from reelgraph.models import inference as mi
 from reelgraph.operators import ranking
-from reelgraph.sources import driver_tables as dt, store
+from reelgraph.session import ensure_checkpoint_dir
+from reelgraph.sources import driver_tables as dt, graph_commits, store
 from reelgraph.workload.registry import query
 
 
@@ -272,3 +275,43 @@ def transcribe_segments(spark, sf_dir):
         "conv_id", "turn", F.when(F.col("role") != "system", F.col("text")).alias("audio")
     )
     return mi.transcribe(rows, mi.fixed_text("heard", lambda s: f" heard {s} ")).select("conv_id", "turn", "transcript", "confidence")
+
+
+@query(
+    "graph_commits", "SRC7 GR10 SRC14",
+    sql="""WITH places AS (SELECT entity_id, name FROM entities WHERE entity_type = 'LOCATION'),
+                people AS (SELECT entity_id, name FROM entities WHERE entity_type = 'PERSON'),
+                linked AS (SELECT relation_id, source_entity FROM relations WHERE relation_type <> 'CONTAINS')
+           SELECT 'saved' AS state, 'a' AS graph_id, 'entity' AS kind, entity_id AS id, name AS content FROM places
+           UNION ALL SELECT 'saved', 'b', 'entity', entity_id, name FROM people
+           UNION ALL SELECT 'saved', 'a', 'relation', relation_id, source_entity FROM linked
+           UNION ALL SELECT 'replaced', 'a', 'entity', entity_id, name FROM people
+           UNION ALL SELECT 'replaced', 'b', 'entity', entity_id, name FROM people
+           UNION ALL SELECT 'deleted', 'a', 'entity', entity_id, name FROM people
+           UNION ALL SELECT 'restored', 'a', 'entity', entity_id, name FROM places
+           UNION ALL SELECT 'restored', 'b', 'entity', entity_id, name FROM people
+           UNION ALL SELECT 'restored', 'a', 'relation', relation_id, source_entity FROM linked""",
+    views="entities relations",
+)
+def graph_commits_states(spark, sf_dir):
+    """Graph a is saved, replaced by other entities without relations, b deleted, and the first state restored."""
+    path = f"{ensure_checkpoint_dir(spark)}/graphs-{uuid.uuid4().hex}"
+    named, none = F.col("graph_id"), F.lit(None).cast("double")
+    entities, relations = dt.entities(spark, sf_dir), dt.relations(spark, sf_dir).where("relation_type <> 'CONTAINS'")
+
+    def of(kind, graph):
+        rows = entities.where(F.col("entity_type") == kind)
+        return rows.select(F.lit(graph).alias("graph_id"), "entity_id", "name", "entity_type", "description", "confidence")
+
+    links = relations.select(F.lit("a").alias("graph_id"), "*", none.alias("start_time"), none.alias("end_time"))
+    first = graph_commits.save({"entities": of("LOCATION", "a").unionByName(of("PERSON", "b")), "relations": links}, path)
+    graph_commits.save({"entities": of("PERSON", "a"), "relations": links.limit(0)}, path)
+    graph_commits.delete(spark, path, "b")
+    graph_commits.rollback(spark, path, first)
+    out = None
+    for commit, state in enumerate(("saved", "replaced", "deleted", "restored"), 1):
+        tables = graph_commits.load(spark, path, commit=commit)
+        for name, kind, key, content in (("entities", "entity", "entity_id", "name"), ("relations", "relation", "relation_id", "source_entity")):
+            part = tables[name].select(F.lit(state).alias("state"), named, F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(content).alias("content"))
+            out = part if out is None else out.unionByName(part)
+    return out

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from reelgraph.functions import vectors as V
-from reelgraph.operators import knn
+from reelgraph.operators import knn, vector_index
+from reelgraph.session import ensure_checkpoint_dir
 from reelgraph.sources import driver_tables as dt
 from reelgraph.workload.registry import query
 
@@ -152,3 +155,39 @@ def chunk_embedding_mean(spark, sf_dir):
 )
 def vector_stats(spark, sf_dir):
     return knn.vector_stats(dt.vectors(spark, sf_dir))
+
+
+def _index_path(spark, name):
+    return f"{ensure_checkpoint_dir(spark)}/index-{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "vector_index_topk", "TOP2 SRC5",
+    sql=f"""SELECT entry_id, round({COS}, 6) AS similarity FROM vectors v, {Q0}
+            WHERE {COS} >= 0 ORDER BY {COS} DESC, entry_id LIMIT 10""",
+    views="vectors",
+)
+def vector_index_topk(spark, sf_dir):
+    """All vectors indexed, all cells probed: the exact result."""
+    v = dt.vectors(spark, sf_dir)
+    path = _index_path(spark, "topk")
+    vector_index.build(v, path)
+    return _out(vector_index.search(spark, path, knn.lookup_vector(v, "0"), 10))
+
+
+@query(
+    "vector_index_many", "TOP2",
+    sql="""WITH s AS (SELECT q.entry_id AS query_id, v.entry_id, greatest(-1.0, least(1.0, list_cosine_similarity(q.vector, v.vector))) AS s
+                      FROM vectors q, vectors v WHERE q.entry_id::BIGINT % 100 = 0),
+                r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, entry_id) AS rank FROM s)
+           SELECT query_id, rank::INT AS rank, entry_id, round(s, 6) AS similarity FROM r WHERE rank <= 10""",
+    views="vectors",
+)
+def vector_index_many(spark, sf_dir):
+    """The ten nearest of every hundredth vector, all cells probed."""
+    v = dt.vectors(spark, sf_dir)
+    path = _index_path(spark, "many")
+    cells = vector_index.build(v, path, cells=16)
+    asked = v.where(F.col("entry_id").cast("bigint") % 100 == 0).select(F.col("entry_id").alias("query_id"), "vector")
+    found = vector_index.search_many(spark, path, asked, 10, probes=cells)
+    return found.withColumn("similarity", F.round("similarity", 6))
