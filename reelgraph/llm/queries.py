@@ -95,7 +95,7 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM part
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
 SQL6 = r"""
@@ -117,8 +117,9 @@ WITH RECURSIVE words AS (
     SELECT CASE WHEN links.a = reach.node THEN links.b ELSE links.a END, reach.root
     FROM reach JOIN links ON links.a = reach.node OR links.b = reach.node
 )
-SELECT documents.doc_id, coalesce(sizes.n, 0) AS n_shingles, r.component_id
+SELECT documents.doc_id, coalesce(sizes.n, 0) AS n_shingles, r.component_id, coalesce(k.n_links, 0) AS n_links
 FROM documents LEFT JOIN sizes USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n_links FROM (SELECT a AS doc_id FROM links UNION ALL SELECT b FROM links) GROUP BY doc_id) k USING (doc_id)
 JOIN (SELECT node, min(root) AS component_id FROM reach GROUP BY node) r ON r.node = documents.doc_id
 """
 
