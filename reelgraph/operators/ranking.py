@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reelgraph.config import RetrievalSettings
 from reelgraph.functions import text
+from reelgraph.session import cut_lineage
 
 KEY = ["result_type", "result_id"]
 
@@ -120,29 +121,22 @@ def rank_page(page: DataFrame) -> DataFrame:
     return page.withColumn("rank", F.rank().over(over).cast("bigint"))
 
 
-def competition_rank(rows: DataFrame, score: str, buckets: int = 4096) -> DataFrame:
-    """Competition rank over any number of rows with scores in [0, 1]; null scores rank last.
+def competition_rank(rows: DataFrame, score: str, ranges: int | None = None) -> DataFrame:
+    """Competition rank over any number of rows and scores of any range; null scores rank last.
 
-    Equal scores are counted first, map-side.  Distinct scores are then ranked inside fixed-width
-    score buckets, and each bucket is shifted by the number of rows in the buckets above it: no task
-    ever sorts the whole table, and a score shared by a third of the rows is one counted value.
+    Equal scores are counted first, map-side.  Distinct scores are dealt to ``ranges`` tasks by splitters sampled from the scores
+    themselves, so they fill all tasks however close together they lie.  Each range is ranked by itself and shifted by the number of
+    rows in the ranges before it.  The dealt scores are written once, because a second sample could draw other splitters.
     """
-    distinct = rows.groupBy(F.col(score)).agg(F.count("*").alias("_n"))
-    bucket = F.greatest(F.lit(0), F.least(F.lit(buckets), F.floor(F.col(score) * buckets)))
-    distinct = distinct.withColumn("_b", F.when(F.col(score).isNull(), -1).otherwise(bucket))
-    totals = distinct.groupBy("_b").agg(F.sum("_n").alias("_t"))  # at most buckets + 2 rows
-    above = totals.select(
-        "_b",
-        F.coalesce(
-            F.sum("_t").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias("_above"),
-    )
-    inside = Window.partitionBy("_b").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    placed = distinct.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(
-        F.broadcast(above), "_b"
-    )
-    ranks = placed.select(F.col(score).alias("_score"), (F.col("_above") + F.col("_before") + 1).alias("rank"))
+    ranges = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    best_first = F.desc_nulls_last("_score")
+    distinct = rows.groupBy(F.col(score).alias("_score")).agg(F.count("*").alias("_n"))
+    dealt = cut_lineage(distinct.repartitionByRange(ranges, best_first).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row per range
+    above = dealt.groupBy("_range").agg(F.sum("_n").alias("_t")).select("_range", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_above"))
+    inside = Window.partitionBy("_range").orderBy(best_first).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(F.broadcast(above), "_range")
+    ranks = placed.select("_score", (F.col("_above") + F.col("_before") + 1).alias("rank"))
     return rows.join(ranks, F.col(score).eqNullSafe(F.col("_score"))).drop("_score")
 
 

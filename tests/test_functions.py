@@ -1,6 +1,7 @@
 """Scalar functions on hand-computed values."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +124,21 @@ def test_epoch_seconds_ignores_session_time_zone(spark):
             assert abs(one(spark, clock.epoch_seconds(stamp))[0] - 1704067207.179575) < 1e-6
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_keywords_of_a_batch_equal_counting_row_by_row(spark):
+    import random
+
+    rng = random.Random(4)
+    pool = ["the", "cat", "Dog", "house", "x", "ab", "été", "a1b", "snake_case", "on-line", "RUN", "run", "ça", "und"]
+    rows = [(k, None if k % 19 == 0 else "" if k % 23 == 0 else "  ".join(rng.choice(pool) + rng.choice(["", ",", ".", "!"]) for _ in range(rng.randrange(60)))) for k in range(300)]
+
+    def plain(value):
+        order = []
+        for word in re.findall(r"(?<!\w)[a-z]{3,}(?!\w)", (value or "").lower()):
+            if word not in text.STOPWORDS:
+                order.append(word)
+        return sorted(dict.fromkeys(order), key=lambda w: (-order.count(w), order.index(w)))[:3]
+
+    got = spark.createDataFrame(rows, "k long, t string").select("k", text.extract_keywords(F.col("t"), 3).alias("w")).collect()
+    assert {r.k: r.w for r in got} == {k: plain(t) for k, t in rows}

@@ -126,3 +126,17 @@ def test_conversation(spark, sf):
     kept = [r["seq"] for r in cv.trim(many).orderBy("seq").collect()]
     assert kept == [0, 1, 2] + list(range(35, 60))
     assert cv.trim(many.filter("seq < 50")).count() == 50
+
+
+def test_rank_fills_all_ranges_wherever_the_scores_lie(spark):
+    import random
+
+    rng = random.Random(9)
+    for scores in ([0.5 + rng.randrange(900) / 10**6 for _ in range(3_000)], [rng.randrange(5_000) * 10.0 - 9_000 for _ in range(3_000)], [2.0] * 50 + [None] * 9, []):
+        rows = spark.createDataFrame(list(enumerate(scores)), "k long, s double")
+        got = {r.k: r.rank for r in ranking.competition_rank(rows, "s", 8).collect()}
+        order = [-s if s is not None else 10**9 for s in scores]
+        firsts = {}
+        for place, value in enumerate(sorted(order), 1):
+            firsts.setdefault(value, place)
+        assert got == {k: firsts[v] for k, v in enumerate(order)}
