@@ -1,7 +1,7 @@
 """Shards in the order of a Hilbert curve through several metadata dimensions, in DataFrame functions only.
 
-Each dimension is cut at its quantiles into 2**bits ranges of about equal numbers of rows; the curve's index of the resulting cell is
-computed with Skilling's transform, as a fold over the bits.  Rows are sorted by (index, text, id) over all tasks and the
+Each dimension is cut at its quantiles into 2**bits ranges of about equal numbers of rows, strings by the rank of whole values; the
+curve's index of the resulting cell is computed with Skilling's transform, as a fold over the bits.  Rows are sorted by (index, text, id) over all tasks and the
 order is cut into runs of equal numbers of rows, one per shard.  Neighbours on the curve are neighbours in every dimension, so the files of
 a shard span a small range of each and readers can skip them by any of the dimensions.  Equal texts are placed where the one with the
 smallest id belongs; they stand together, and at most one group is cut at the end of each run.
@@ -28,10 +28,10 @@ SHARDS = 16
 
 
 def ordinal(column: str, kind: str) -> Column:
-    """An order-keeping number for a dimension; of strings, their first six bytes.  Null comes before every number."""
+    """An order-keeping number for a dimension, of strings an order-keeping key.  Null comes before every value."""
     if kind == "string":
-        number = F.conv(F.rpad(F.substring(F.hex(F.col(column)), 1, 12), 12, "0"), 16, 10).cast("double")
-    elif kind == "date":
+        return F.coalesce(F.concat(F.lit("v"), F.col(column)), F.lit("null"))
+    if kind == "date":
         number = F.unix_date(column).cast("double")
     else:
         number = F.col(column).cast("double")
@@ -94,6 +94,29 @@ def _range_of(column: str, edges: Sequence[float]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(c) for c in edges]), lambda c: c < F.col(column)))
 
 
+def string_ranges(table: DataFrame, column: str, bits: int) -> DataFrame:
+    """(value, range) of every distinct value: ranges of about equal numbers of rows in the order of whole values.
+
+    A value's range follows from the number of rows before it: its running count in its task plus the rows of the tasks before.  A value
+    with a third of all rows is one row here, after partial counts.
+    """
+    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = table.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    dealt = staged(counted.repartitionByRange(tasks, "value").select("*", F.spark_partition_id().alias("task")))
+    sums = dealt.groupBy("task").agg(F.sum("n").alias("rows"))  # one row per task
+    so_far = Window.rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(
+        "task", F.coalesce(F.sum("rows").over(so_far.orderBy("task")), F.lit(0)).alias("start"),
+        F.sum("rows").over(Window.partitionBy()).alias("total"),
+    )
+    within = F.coalesce(F.sum("n").over(so_far.partitionBy("task").orderBy("value")), F.lit(0))
+    before = F.col("start") + F.col("within")
+    return staged(
+        dealt.withColumn("within", within).join(F.broadcast(starts), "task")
+        .select("value", F.floor(before * (1 << bits) / F.col("total")).cast("int").alias("range"))
+    )
+
+
 def curve_order(docs: DataFrame, dimensions: Sequence[str] = ("lang", "source", "size"), bits: int = BITS) -> DataFrame:
     """(doc_id, size, text_crc32, text_key, curve, rank) of all rows; rank counts from 0 in the order of the curve.
 
@@ -108,9 +131,15 @@ def curve_order(docs: DataFrame, dimensions: Sequence[str] = ("lang", "source",
         F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         F.md5(text.cast("binary")).alias("text_key"), *[v.alias(n) for v, n in zip(values, names, strict=True)],
     ))
-    edges = cuts(thin, names, bits)
-    axes = [_range_of(n, edge) for n, edge in zip(names, edges, strict=True)]
-    cells = thin.select("doc_id", "text_key", F.array(*axes).alias("cell"))
+    words = [n for n, d in zip(names, dimensions, strict=True) if d != "size" and kinds[d] == "string"]
+    numbers = [n for n in names if n not in words]
+    edges = dict(zip(numbers, cuts(thin, numbers, bits), strict=True)) if numbers else {}
+    ranged = thin
+    for n in words:  # joined by whole values; the planner broadcasts a written table of few values by its size
+        found = string_ranges(thin, n, bits)
+        ranged = ranged.join(found.select(F.col("value").alias(n), F.col("range").alias(f"{n}_range")), n)
+    axes = [F.col(f"{n}_range") if n in words else _range_of(n, edges[n]) for n in names]
+    cells = ranged.select("doc_id", "text_key", F.array(*axes).alias("cell"))
     place = hilbert_index([F.get("cell", F.lit(i)) for i in range(len(names))], bits)
     curve = cells.groupBy("text_key").agg(F.min(F.struct("doc_id", "cell")).alias("m")).select("text_key", F.col("m.cell").alias("cell"))
     curve = curve.select("text_key", place.alias("curve"))

@@ -336,3 +336,43 @@ def test_long_runs_are_read_once(model):
 def test_report_of_nothing(spark, no_docs, model):
     assert pii.report(no_docs, model).count() == 0
     assert pii.fit(pii.labelled_table(spark, 0)).weights == {}
+
+
+def test_hilbert_ranges_of_strings_follow_whole_values(spark):
+    from reelgraph.llm import hilbert
+
+    rows = [(None,)] * 3 + [(f"common_crawl_{i:03d}",) for i in range(64) for _ in range(2)] + [("",)] + [("zz",)] * 60
+    table = spark.createDataFrame(rows, "source string").select(hilbert.ordinal("source", "string").alias("d0"))
+    found = {r["value"]: r["range"] for r in hilbert.string_ranges(table, "d0", 5).collect()}
+    order = ["null", *sorted({f"v{v}" for v, in rows if v is not None})]
+    keys = ["null" if v is None else f"v{v}" for v, in rows]
+    want = {k: sum(o < k for o in keys) * 32 // len(rows) for k in order}
+    assert found == want and found["null"] == 0
+    assert len({found[f"vcommon_crawl_{i:03d}"] for i in range(64)}) > 16
+
+
+def test_hilbert_orders_null_before_negative_numbers_and_takes_dates(spark):
+    import datetime
+
+    from reelgraph.llm import hilbert
+
+    days = [None, datetime.date(1950, 1, 1), datetime.date(2000, 1, 1)]
+    docs = spark.createDataFrame(
+        [(i, f"t{i}", None if i % 3 == 0 else -5 * i, days[i % 3]) for i in range(30)], "doc_id long, text string, number int, day date"
+    )
+    low = docs.select(hilbert.ordinal("number", "int").alias("n"), "number").orderBy("n").collect()
+    assert [r["number"] for r in low[:10]] == [None] * 10
+    made = hilbert.shards(docs, 4, ("number", "day")).collect()
+    assert sorted(r["doc_id"] for r in made) == list(range(30))
+    assert sorted(sum(r["shard"] == s for r in made) for s in range(4)) == [7, 7, 8, 8]
+    assert hilbert.shards(docs, 4, ("day",)).count() == 30
+
+
+def test_hilbert_handles_sources_of_one_prefix_and_an_empty_table(spark):
+    from reelgraph.llm import hilbert
+
+    docs = spark.createDataFrame([(i, f"text {i}", f"common_crawl_{i % 4}") for i in range(64)], "doc_id long, text string, source string")
+    made = hilbert.shards(docs, 4, ("source",)).collect()
+    by_shard = {s: {r["doc_id"] % 4 for r in made if r["shard"] == s} for s in range(4)}
+    assert sorted(by_shard.values(), key=min) == [{0}, {1}, {2}, {3}]
+    assert hilbert.shards(docs.limit(0), 4, ("source",)).collect() == []
