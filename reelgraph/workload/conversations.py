@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from reelgraph.models.inference import fixed_text
 from reelgraph.operators import conversation as cv
-from reelgraph.sources import driver_tables as dt
+from reelgraph.session import ensure_checkpoint_dir
+from reelgraph.sources import answer_store, driver_tables as dt
 from reelgraph.workload.registry import query
 
 
@@ -95,6 +99,24 @@ def distinct_analyses(spark, sf_dir):
     return cv.distinct_analyses(asks).select(F.col("frame_id").alias("frame"), "prompt")
 
 
+@query(
+    "frame_answers", "CH3 RET7 UDF2",
+    sql="""SELECT frame_id, prompt, confidence >= 0.5 AS reused,
+                  CASE WHEN confidence >= 0.5 THEN 'first ' ELSE 'second ' END
+                    || length(prompt || CASE WHEN caption IS NULL THEN '' ELSE chr(10) || chr(10) || caption END) AS answer
+           FROM frames, (VALUES ('What is shown?'), ('Who is shown?')) p(prompt)""",
+    views="frames",
+)
+def frame_answers(spark, sf_dir):
+    """Two questions about every frame; a run before has asked about the confident ones, and only the rest reaches the second model."""
+    path = f"{ensure_checkpoint_dir(spark)}/answers-{uuid.uuid4().hex}"
+    asked = F.explode(F.array(F.lit("What is shown?"), F.lit("Who is shown?")))
+    requests = dt.frames(spark, sf_dir).select("frame_id", "confidence", F.col("caption").alias("content"), asked.alias("prompt"))
+    answer_store.ask(requests.where("confidence >= 0.5"), path, fixed_text("describer", lambda q: f"first {len(q)}"), now=0.0)
+    rows = answer_store.ask(requests, path, fixed_text("describer", lambda q: f"second {len(q)}"), now=1.0)
+    return rows.select("frame_id", "prompt", "reused", "answer")
+
+
 @query(
     "transcript_log", "JOI15",
     sql="""SELECT video_id, start_time, md5('[' || printf('%02d:%06.3f', floor(start_time / 60)::BIGINT, start_time % 60) || '-'
