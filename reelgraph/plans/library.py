@@ -11,12 +11,26 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
 from reelgraph.config import Settings
 from reelgraph.operators import graph_algorithms as ga, graph_search as gs, knn, media_search as ms, stats
 from reelgraph.plans import retrieval
-from reelgraph.schema import GRAPH_TABLES, METADATA_TABLES, VECTORS
-from reelgraph.sources import exchange, store
+from reelgraph.schema import GRAPH_TABLES, METADATA_KEYS, METADATA_TABLES, VECTORS
+from reelgraph.sources import delta_store, exchange, store
+
+STORED = {**METADATA_TABLES, "vectors": VECTORS, **GRAPH_TABLES}
+KEYS = {**METADATA_KEYS, "vectors": "entry_id", "relations": "relation_id"} | dict.fromkeys(
+    ("entities", "aliases", "entity_videos", "entity_chunks", "appearances"), "entity_id"
+) | {"relation_videos": "relation_id"}
+
+
+def _shaped(rows: DataFrame, ddl: str) -> DataFrame:
+    """The columns of a stored table, null where ``rows`` lacks one."""
+    have = set(rows.columns)
+    return rows.select(*[
+        (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(ddl).fields
+    ])
 
 
 @dataclass(frozen=True)
@@ -34,11 +48,10 @@ class Library:
         published = exchange.names_in(spark, f"{path}/published")
         if published:
             path = f"{path}/versions/{published[-1]}"
-        schemas = {**METADATA_TABLES, "vectors": VECTORS, **GRAPH_TABLES}
         tables = {
             name: spark.read.schema(ddl).parquet(f"{path}/{name}") if exchange.exists(spark, f"{path}/{name}")
             else spark.createDataFrame([], ddl)
-            for name, ddl in schemas.items()
+            for name, ddl in STORED.items()
         }
         return cls(tables, **options)
 
@@ -154,6 +167,44 @@ class Library:
             df.write.parquet(f"{path}/versions/{version}/{name}")
         exchange.write_text(spark, f"{path}/published/{version}", version)
 
+    # -- durable changes -----------------------------------------------------------------------
+    @classmethod
+    def open_changes(cls, spark: SparkSession, path: str, commit: int | None = None, **options) -> "Library":
+        """The newest commit of a library kept as base and changes, or an older one."""
+        return cls(delta_store.load(spark, path, STORED, commit), **options)
+
+    def save_changes(self, path: str) -> int:
+        """Make this the base of ``path``, by one commit; later changes write only what they change."""
+        change = delta_store.Change(self["videos"].sparkSession, path, KEYS)
+        for name in STORED:
+            change.replace(name, self[name])
+        return change.commit()
+
+    @staticmethod
+    def add_stored(spark: SparkSession, path: str, processed: DataFrame, now: float) -> int:
+        """Take in nested processed videos as in ``add``: writes their rows and ids, whatever the size of the store."""
+        new, change = store.shred(processed, now), delta_store.Change(spark, path, KEYS)
+        ids = new["videos"].select("video_id")
+        for name, rows in new.items():
+            shaped = _shaped(rows, STORED[name])
+            change.delete(name, ids, "video_id").append(name, shaped)
+        change.upsert("vectors", _shaped(store.media_vectors(processed, now), STORED["vectors"]))
+        return change.commit()
+
+    @staticmethod
+    def remove_stored(spark: SparkSession, path: str, *video_ids: str) -> int:
+        """Remove videos from every table that names them, graphs' included: writes the ids alone."""
+        ids = spark.createDataFrame([(v,) for v in video_ids], "video_id string").coalesce(1)
+        change = delta_store.Change(spark, path, KEYS)
+        for name, ddl in STORED.items():
+            if "video_id" in T.StructType.fromDDL(ddl).names:
+                change.delete(name, ids, "video_id")
+        return change.commit()
+
+    @staticmethod
+    def compact_stored(spark: SparkSession, path: str, share: float = 0.1) -> int | None:
+        return delta_store.compact(spark, path, STORED, KEYS, share)
+
     def export(self, path: str, compress: bool = True) -> None:
         exchange.export_library(self.tables, path, compress=compress)
 

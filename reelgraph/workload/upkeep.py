@@ -10,9 +10,12 @@ from reelgraph.functions import ids
 from reelgraph.models import inference as mi
 from reelgraph.operators import ranking
 from reelgraph.session import ensure_checkpoint_dir
-from reelgraph.sources import driver_tables as dt, graph_commits, store
+from reelgraph.sources import delta_store, driver_tables as dt, graph_commits, store
 from reelgraph.workload.registry import query
 
+F_SHAPE = "frame_id string, video_id string, timestamp double, caption string"
+V_SHAPE = "entry_id string, video_id string, source_type string"
+
 
 @query(
     "upsert_latest", "SRC3 SRC6",
@@ -86,6 +89,31 @@ def delete_cascade(spark, sf_dir):
     return out
 
 
+@query(
+    "store_changes", "MNT1 SRC3 SRC5 SRC7",
+    sql="""SELECT 'frames' AS kind, frame_id AS item_id, CASE WHEN timestamp >= 200 THEN 'changed' ELSE md5(caption) END AS content
+           FROM frames WHERE video_id <> '7' OR timestamp >= 200
+           UNION ALL SELECT 'vectors', entry_id, source_type FROM vectors WHERE video_id <> '7' AND source_type <> 'chunk'""",
+    views="frames vectors",
+)
+def store_changes(spark, sf_dir):
+    """A stored base, then a removed video, replaced frames and vectors removed by their kind, merged as they are read."""
+    path = f"{ensure_checkpoint_dir(spark)}/changes-{uuid.uuid4().hex}"
+    keys = {"frames": "frame_id", "vectors": "entry_id"}
+    f = dt.frames(spark, sf_dir).select("frame_id", "video_id", "timestamp", "caption")
+    v = dt.vectors(spark, sf_dir).select("entry_id", "video_id", "source_type")
+    delta_store.Change(spark, path, keys).append("frames", f).append("vectors", v).commit()
+    seven = spark.createDataFrame([("7",)], "video_id string").coalesce(1)
+    delta_store.Change(spark, path, keys).delete("frames", seven, "video_id").delete("vectors", seven, "video_id").commit()
+    late = f.where("timestamp >= 200").withColumn("caption", F.lit("changed"))
+    chunk = spark.createDataFrame([("chunk",)], "source_type string").coalesce(1)
+    delta_store.Change(spark, path, keys).upsert("frames", late).delete("vectors", chunk, "source_type").commit()
+    now = delta_store.load(spark, path, {"frames": F_SHAPE, "vectors": V_SHAPE})
+    content = F.when(F.col("caption") == "changed", F.col("caption")).otherwise(F.md5("caption"))
+    frames = now["frames"].select(F.lit("frames").alias("kind"), F.col("frame_id").alias("item_id"), content.alias("content"))
+    return frames.unionByName(now["vectors"].select(F.lit("vectors").alias("kind"), F.col("entry_id").alias("item_id"), F.col("source_type").alias("content")))
+
+
 @query(
     "retention", "MNT2",
     sql="SELECT video_id, success FROM videos WHERE NOT (created_at < 50 AND NOT success)", views="videos",
