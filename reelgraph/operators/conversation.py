@@ -160,3 +160,37 @@ def transcript_log(audio: DataFrame) -> DataFrame:
             F.lit("] "), "transcript",
         ).alias("line"),
     ).orderBy("video_id", "start_time")
+
+
+def video_content(
+    chunks: DataFrame, audio: DataFrame, entities: DataFrame | None = None, entity_videos: DataFrame | None = None, video_id: str | None = None,
+) -> DataFrame:
+    """All that is known of every video, or of one, one row per item: its chunks, what is said in them, its entities.
+
+    Long form, so a video that holds a third of all chunks or an entity of a third of all videos is many small rows.  Chunks without a
+    description stay, with a null ``content``; transcripts that are null or empty drop out; a video names an entity once.  Entities come where
+    both entity tables are given.
+    """
+    from reelgraph.functions.clock import seconds_to_timestamp
+
+    def only(rows: DataFrame) -> DataFrame:
+        return rows if video_id is None else rows.filter(F.col("video_id") == video_id)
+
+    def timed(rows: DataFrame, section: str, key: str, content: str) -> DataFrame:
+        start, end = F.col("start_time"), F.col("end_time")
+        return only(rows).select(
+            "video_id", F.lit(section).alias("section"), F.col(key).alias("item_id"), "start_time", "end_time",
+            seconds_to_timestamp(start).alias("start_stamp"), seconds_to_timestamp(end).alias("end_stamp"),
+            F.col(content).alias("content"), F.lit(None).cast("double").alias("confidence"),
+        )
+
+    said = audio.filter(F.coalesce("transcript", F.lit("")) != "")
+    rows = timed(chunks, "chunk", "chunk_id", "unified_description").unionByName(timed(said, "transcript", "chunk_id", "transcript"))
+    if entities is None or entity_videos is None:
+        return rows
+    named = only(entity_videos.select("entity_id", "video_id").distinct()).join(entities, "entity_id")
+    line = F.concat("name", F.lit(" ("), "entity_type", F.lit(")"), F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit(": "), "description")).otherwise(""))
+    return rows.unionByName(
+        named.select("video_id", F.lit("entity").alias("section"), F.col("entity_id").alias("item_id"), line.alias("content"), "confidence"),
+        allowMissingColumns=True,
+    )

@@ -173,11 +173,11 @@ def co_occurrence_pairs(appearances: DataFrame, entity_id: str, window: float =
     """
     width = max(float(window), 1e-3)
     keys = ["entity_id", "video_id", "start_time", "end_time"]
-    counted = appearances.groupBy(*keys).agg(F.count("*").alias("n"))
-    mine = counted.filter(F.col("entity_id") == entity_id).select(
-        "video_id", F.col("start_time").alias("s"), F.col("end_time").alias("e"), F.col("n").alias("k")
-    )
-    others = counted.filter(F.col("entity_id") != entity_id)
+    own = appearances.filter(F.col("entity_id") == entity_id)
+    mine = own.groupBy("video_id", F.col("start_time").alias("s"), F.col("end_time").alias("e")).agg(F.count("*").alias("k"))
+    # Only the entity's videos are counted: what it never meets is dropped before the first shuffle by all four keys.
+    met = appearances.filter(F.col("entity_id") != entity_id).join(own.select("video_id").distinct(), "video_id", "left_semi")
+    others = met.groupBy(*keys).agg(F.count("*").alias("n"))
 
     def banded(column: str, own: str) -> DataFrame:
         left = mine.withColumn("_b", F.explode(F.array(*[F.floor(F.col(own) / width) + i for i in (-1, 0, 1)])))

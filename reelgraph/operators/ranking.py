@@ -6,6 +6,8 @@ entity_score, explanation, content`` and ``leg``, the number of the leg it came
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reelgraph.config import RetrievalSettings
@@ -141,14 +143,16 @@ def competition_rank(rows: DataFrame, score: str, ranges: int | None = None) ->
 
 
 def post_process(
-    results: DataFrame, settings: RetrievalSettings = RetrievalSettings(), max_results: int | None = None
+    results: DataFrame, settings: RetrievalSettings = RetrievalSettings(), max_results: int | None = None, judge=None,
 ) -> DataFrame:
-    """Threshold, order, diversify, rank, cut.
+    """Threshold, order, diversify, judge where one is given, rank, cut.
 
     The page holds twice the final number of rows, or ``max_results`` if that is more.
     """
     kept = results.filter(F.col("relevance") >= settings.confidence_threshold)
     page = diversify(kept, settings.per_video_limit, settings.diversity_min_rows, max(settings.top_k_final * 2, max_results or 0))
+    if judge is not None:
+        page = judge_page(page, judge, settings.confidence_threshold)
     ranked = rank_page(page)
     return ranked.orderBy("rank", "result_type", "result_id").limit(max_results) if max_results else ranked
 
@@ -164,7 +168,8 @@ def judge_page(page: DataFrame, judge, threshold: float = 0.6, use_judge: bool =
     top = page.orderBy(F.desc("relevance"), "result_type", "result_id").limit(shown).collect()
     try:
         marks = list(judge([f"{r['result_type']} {r['result_id']}: {r['explanation']}" for r in top]))
-    except Exception:
+    except Exception as e:
+        warnings.warn(f"the judge failed, rows are kept by their relevance: {e!r}", stacklevel=2)
         return page.filter(F.col("relevance") >= threshold)
     dropped = [(r["result_type"], r["result_id"]) for r, mark in zip(top, marks) if mark != 1]
     for kind, key in dropped:

@@ -226,13 +226,13 @@ def candidates(
 def retrieve(
     store: MediaStore, query: str, strategy: str = "hybrid", embed: Embed | None = None, video_id: str | None = None,
     max_results: int | None = None, settings: RetrievalSettings = RetrievalSettings(), include_entities: bool = True,
-    include_temporal: bool = True,
+    include_temporal: bool = True, judge: Callable[[list[str]], list[int]] | None = None,
 ) -> DataFrame:
-    """Ranked results of one query."""
+    """Ranked results of one query; ``judge``, if given, says which of the first rows are relevant."""
     spark = store.videos.sparkSession
     ctx = understand(spark, query, video_id, max_results or 10, include_entities, include_temporal)
     vector = embed(ctx.processed) if embed is not None else None
-    return ranking.post_process(candidates(store, ctx, strategy, settings, vector), settings, ctx.max_results)
+    return ranking.post_process(candidates(store, ctx, strategy, settings, vector), settings, ctx.max_results, judge)
 
 
 @dataclass

@@ -127,6 +127,23 @@ def transcript_log(spark, sf_dir):
     return cv.transcript_log(dt.audio_segments(spark, sf_dir)).withColumn("line", F.md5("line"))
 
 
+@query(
+    "video_content", "JOI15",
+    sql="""WITH t AS (SELECT 'chunk' AS section, chunk_id AS item_id, video_id, start_time, end_time, unified_description AS content FROM chunks
+                      UNION ALL SELECT 'transcript', chunk_id, video_id, start_time, end_time, transcript FROM audio_segments WHERE coalesce(transcript, '') <> '')
+           SELECT video_id, section, item_id, printf('%02d:%06.3f', floor(start_time / 60)::BIGINT, start_time % 60) AS start_stamp,
+                  printf('%02d:%06.3f', floor(end_time / 60)::BIGINT, end_time % 60) AS end_stamp, md5(content) AS content, NULL::DOUBLE AS confidence FROM t
+           UNION ALL SELECT video_id, 'entity', entity_id, NULL, NULL,
+                  md5(name || ' (' || entity_type || ')' || CASE WHEN description <> '' THEN ': ' || description ELSE '' END), confidence
+           FROM (SELECT DISTINCT entity_id, video_id FROM entity_videos) JOIN entities USING (entity_id)""",
+    views="chunks audio_segments entities entity_videos",
+)
+def video_content(spark, sf_dir):
+    """Chunks, transcripts and entities of every video."""
+    rows = cv.video_content(dt.chunks(spark, sf_dir), dt.audio_segments(spark, sf_dir), dt.entities(spark, sf_dir), dt.entity_videos(spark, sf_dir))
+    return rows.withColumn("content", F.md5("content")).drop("start_time", "end_time")
+
+
 @query(
     "frames_by_id", "JOI9",
     sql="SELECT frame_id, video_id, timestamp FROM frames WHERE frame_id IN ('3', '5', '8', '120')",

@@ -68,7 +68,8 @@ def test_merge_keeps_single_scores_and_blends_repeats(spark):
 def test_judge(spark):
     df = results(spark, [(f"r{i}", "v", 1 - i / 10) for i in range(8)]).withColumn("explanation", F.lit("x"))
     assert ranking.judge_page(df, lambda d: [1, 0, 1], 0.6).count() == 7
-    assert ranking.judge_page(df, lambda d: 1 / 0, 0.6).count() == 5
+    with pytest.warns(UserWarning, match="judge failed"):
+        assert ranking.judge_page(df, lambda d: 1 / 0, 0.6).count() == 5
     assert ranking.judge_page(df, None, use_judge=False).count() == 8
 
 
@@ -140,3 +141,34 @@ def test_rank_fills_all_ranges_wherever_the_scores_lie(spark):
         for place, value in enumerate(sorted(order), 1):
             firsts.setdefault(value, place)
         assert got == {k: firsts[v] for k, v in enumerate(order)}
+
+
+def test_the_judge_drops_rows_before_they_are_ranked(spark):
+    shape = "result_type string, result_id string, video_id string, relevance double, explanation string"
+    rows = spark.createDataFrame([("clip", str(i), f"v{i}", 0.9 - i / 100, f"text {i}") for i in range(6)], shape)
+    seen = []
+
+    def judge(texts):
+        seen.extend(texts)
+        return [0 if "text 0" in t else 1 for t in texts]
+
+    out = {r["result_id"]: r["rank"] for r in ranking.post_process(rows, judge=judge).collect()}
+    assert out == {"1": 1, "2": 2, "3": 3, "4": 4, "5": 5} and len(seen) == 6
+    assert {r["result_id"]: r["rank"] for r in ranking.post_process(rows).collect()}["0"] == 1
+
+
+def test_video_content(spark):
+    from reelgraph.operators import conversation as cv
+
+    span = "start_time double, end_time double"
+    chunks = spark.createDataFrame([("c1", "v1", 0.0, 30.0, "a cat"), ("c2", "v1", 30.0, 60.0, None), ("c3", "v2", 0.0, 1.0, "")], f"chunk_id string, video_id string, {span}, unified_description string")
+    audio = spark.createDataFrame([("c1", "v1", 0.0, 30.0, "meow"), ("c2", "v1", 30.0, 60.0, None), ("c3", "v2", 0.0, 1.0, "")], f"chunk_id string, video_id string, {span}, transcript string")
+    entities = spark.createDataFrame([("e1", "Cat", "OBJECT", "a pet", 0.9), ("e2", "Tom", "PERSON", None, 0.8)], "entity_id string, name string, entity_type string, description string, confidence double")
+    seen = spark.createDataFrame([("e1", "v1"), ("e1", "v1"), ("e2", "v2"), ("e9", "v1")], "entity_id string, video_id string")
+    rows = sorted((r.video_id, r.section, r.item_id, r.content) for r in cv.video_content(chunks, audio, entities, seen).na.fill("-", ["content"]).collect())
+    assert rows == [
+        ("v1", "chunk", "c1", "a cat"), ("v1", "chunk", "c2", "-"), ("v1", "entity", "e1", "Cat (OBJECT): a pet"), ("v1", "transcript", "c1", "meow"),
+        ("v2", "chunk", "c3", ""), ("v2", "entity", "e2", "Tom (PERSON)"),
+    ]
+    assert cv.video_content(chunks, audio, entities, seen, "v2").count() == 2
+    assert cv.video_content(chunks, audio).count() == 4
