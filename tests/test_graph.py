@@ -272,6 +272,19 @@ def test_greedy_equals_one_by_one(spark):
         assert {r["entity_id"]: r["target"] for r in linking.final_targets(merges).collect()} == {s: end(s) for s in target}
 
 
+def test_greedy_settles_long_chains_in_few_rounds(spark):
+    """Chains of waiting pairs, forwards and through a hot entity, in rounds that grow with the logarithm of their length."""
+    n = 5000
+    chain = [(f"n{i:05d}", f"n{i + 1:05d}", 1 - i / (4 * n)) for i in range(n)]
+    hot = [("a", f"m{i:05d}", 0.9) for i in range(300)] + [(f"m{i:05d}", f"n{i:05d}", 0.85) for i in range(300)]
+    rows = chain + hot
+    df = spark.createDataFrame([*rows, rows[0], (None, "x", 1.0), ("x", "y", None)], "primary string, secondary string, similarity double")
+    got = {(r["primary"], r["secondary"]) for r in linking.greedy_merges(df, max_rounds=30).collect()}
+    assert got == set(_greedy(rows))
+    with pytest.raises(RuntimeError):
+        linking.greedy_merges(df.filter("secondary like 'n0000%'"), max_rounds=1)
+
+
 def test_merged_confidence_against_loop(spark):
     rng = random.Random(6)
     conf = {f"n{i:02d}": round(rng.random(), 3) for i in range(15)}
