@@ -4,7 +4,7 @@ The suffixes of all documents are far too many to be moved.  Each window of ``wi
 anchor inside it (the leftmost smallest hash among its runs of ``prefix`` words), which equal windows choose alike:
 
 1. One pass over the texts finds the anchors, about one in twenty words.  A prefix of ``prefix`` words that stands in one
-   document only can have no repeat in another; those anchors, nearly all, go.
+   document only can have no repeat in another; those anchors, nearly all, go.  Anchors of a frequent prefix are dealt over all tasks.
 2. The suffixes at the other anchors travel to the task of their prefix.  There they form memory-sized groups; each group
    becomes a suffix tree, held as the sorted suffixes' ranks at depths 1, 2, 4, ... ``window``.  A node at that depth with leaves
    of more than one document is a repeat; its leaves in all but the smallest document are marked.
@@ -36,6 +36,7 @@ from reelgraph.llm.common import batches, extended, gram_hashes, slices, staged,
 WINDOW = 50
 PREFIX = 16
 GROUP_LIMIT = 20_000
+HEAVY = 1_000  # keys that hold more than one in so many rows: fewer than that many, so they are broadcast
 
 _KEYS = "__id long, __fp long"
 
@@ -183,6 +184,21 @@ def _subtrees(window: int, budget: int = 500_000):
     return run
 
 
+def _shared_places(anchors: DataFrame, shared: DataFrame, total: int) -> DataFrame:
+    """The anchors whose ``key`` is in ``shared`` (key, n, long), with ``long``; ``total`` is the sum of ``n``.
+
+    Keys of more than ``total / HEAVY`` anchors are fewer than HEAVY, whatever the size of the table.  They are broadcast, and their
+    anchors go through the shuffle dealt at random in place of their key, so that no task receives all anchors of a frequent key.
+    """
+    frequent = F.col("n") * HEAVY > total
+    heavy = shared.where(frequent).select("key", F.col("long").alias("heavy"))
+    light = shared.where(~frequent).select(F.col("key").alias("to"), F.col("long").alias("light"))
+    flagged = anchors.join(F.broadcast(heavy), "key", "left")
+    dealt = flagged.withColumn("by", F.when(F.col("heavy").isNull(), F.col("key")).otherwise(F.xxhash64("__id", "__fp", "at")))
+    met = dealt.join(light, F.col("by") == F.col("to"), "left")
+    return met.select("__id", "__fp", "at", "key", F.coalesce("heavy", "light").alias("long")).where("long is not null")
+
+
 def _cut(whole: bool):
     """Adds the numbers of words and of removed words, and the kept words joined by one space; with ``whole`` an unchanged text stays as it is."""
 
@@ -229,12 +245,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
 
     anchors = found.where("not copy").select("__id", "__fp", F.arrays_zip("grams", "at").alias("z")).select("__id", "__fp", F.inline("z"))
     anchors = anchors.withColumnRenamed("grams", "key")
-    shared = (
+    shared = staged(
         anchors.groupBy("key").agg(F.min("__id").alias("low"), F.max("__id").alias("high"), F.count("*").alias("n"))
-        .where("low < high").select("key", (F.col("n") > group_limit).alias("long"))
+        .where("low < high").select("key", "n", (F.col("n") > group_limit).alias("long"))
     )
+    total = shared.agg(F.sum("n")).first()[0] or 0
     places = staged(
-        anchors.join(shared, "key").groupBy("__id", "__fp", "long").agg(F.collect_set("at").alias("at")).select("__id", "__fp", "long", "at")
+        _shared_places(anchors, shared, total)
+        .groupBy("__id", "__fp", "long").agg(F.collect_set("at").alias("at")).select("__id", "__fp", "long", "at")
     )
 
     def with_text(which: str) -> DataFrame:

@@ -40,6 +40,38 @@ def test_removal(docs, rows, window, prefix, limit):
     assert made.select("rest.spans", "rest.key").count() == len(rows)
 
 
+def test_frequent_prefixes_are_dealt_over_all_tasks(spark, monkeypatch):
+    """One passage in a third of all documents, and half of all prefixes frequent: the same result, no task with the whole key."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    hot = [f"h{i}" for i in range(20)]
+    rows = []
+    for k in range(150):
+        own = [f"w{rng.randrange(9)}" for _ in range(rng.randrange(30))]
+        rows.append((k, " ".join(own + hot + own[:4] if k % 3 == 0 else own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for heavy in (2, 40, 1_000):
+        monkeypatch.setattr(substring_dedup, "HEAVY", heavy)
+        made = substring_dedup.remove_repeats(docs, 12, 5, 10)
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in made.collect()), key=str) == brute_removal(rows, 12)
+    anchors = spark.range(0, 20_000, 1, 4).select(
+        F.col("id").alias("__id"), F.lit(1).cast("long").alias("__fp"), F.lit(0).alias("at"), F.when(F.col("id") % 3 > 0, F.floor(F.col("id") / 6)).otherwise(-1).alias("key")
+    )
+    shared = anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("long", F.col("n") > 100)
+    monkeypatch.setattr(substring_dedup, "HEAVY", 1_000)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = substring_dedup._shared_places(anchors, shared, 20_000)
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert got.where("long").count() == anchors.where("key = -1").count() and max(sizes) < 2 * sum(sizes) / len(sizes)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_removal_of_nothing(no_docs):
     assert substring_dedup.remove_repeats(no_docs).collect() == []
 
