@@ -2,8 +2,8 @@
 
 Similarity is 0.4 * name + 0.2 * best alias pair + 0.4 * description.  Input entities have distinct
 names within a type (``merge_mentions`` sees to that), so a pair without aliases on both sides cannot
-reach a threshold of 0.8 or more, and every linkable pair shares at least (threshold - 0.6) / 0.4 of its
-description tokens.  That makes the search an exact set-similarity join instead of all pairs of a type.
+reach a threshold of 0.8 or more.  Above 0.6 every linkable pair shares at least (threshold - 0.6) / 0.4 of
+its description tokens, for names and aliases give 0.6 at most.  That makes the search an exact set-similarity join instead of all pairs of a type.
 """
 
 from __future__ import annotations
@@ -72,12 +72,14 @@ def link_candidates(entities: DataFrame, aliases: DataFrame, entity_videos: Data
     by block in cells, so one very common description is spread over many tasks, and a pair leaves its
     cell only if its names are close enough for the pair to count.
     """
-    if threshold < 0.8:
-        raise ValueError("the candidate search is exact for thresholds of 0.8 and above")
+    if not threshold > 0.6:
+        raise ValueError("the candidate search is exact for thresholds above 0.6")
     known = aliases.select("entity_id", F.lower("alias").alias("alias")).distinct()
+    described = _signatures(entities)
+    if threshold >= 0.8:  # below it, entities without aliases can link as well
+        described = described.join(known.select("entity_id").distinct(), "entity_id", "left_semi")
     members = (
-        _signatures(entities).join(known.select("entity_id").distinct(), "entity_id", "left_semi")
-        .join(_video_print(entity_videos), "entity_id", "left").fillna("", ["videos"])
+        described.join(_video_print(entity_videos), "entity_id", "left").fillna("", ["videos"])
         .select("entity_id", "entity_type", F.lower("name").alias("name"), "sig", "videos")
     )
     at_least = (threshold - 0.6) / 0.4
@@ -119,8 +121,9 @@ def link_candidates(entities: DataFrame, aliases: DataFrame, entity_videos: Data
     )
     pa = known.select(F.col("entity_id").alias("primary"), F.col("alias").alias("alias_a"))
     sa = known.select(F.col("entity_id").alias("secondary"), F.col("alias").alias("alias_b"))
-    best = met.join(pa, "primary").join(sa, "secondary").groupBy(*met.columns).agg(
-        F.max(text.string_similarity(F.col("alias_a"), F.col("alias_b"))).alias("alias_similarity")
+    alias_sim = F.max(text.string_similarity(F.col("alias_a"), F.col("alias_b")))
+    best = met.join(pa, "primary", "left").join(sa, "secondary", "left").groupBy(*met.columns).agg(
+        F.coalesce(alias_sim, F.lit(0.0)).alias("alias_similarity")
     )
     total = F.col("name_similarity") * 0.4 + F.col("alias_similarity") * 0.2 + F.col("description_similarity") * 0.4
     return best.withColumn("similarity", total).filter(F.col("similarity") >= threshold - 1e-12)

@@ -227,13 +227,25 @@ def _crowd_tables(spark, crowd):
     return e, a, v
 
 
-def _crowd_pairs(crowd):
+def _crowd_pairs(crowd, threshold=0.8):
     return [
         (a["id"], b["id"], _similarity(a, b)) for a, b in itertools.combinations(crowd, 2)
-        if a["type"] == b["type"] and set(a["videos"]) != set(b["videos"]) and _similarity(a, b) >= 0.8 - 1e-12
+        if a["type"] == b["type"] and set(a["videos"]) != set(b["videos"]) and _similarity(a, b) >= threshold - 1e-12
     ]
 
 
+@pytest.mark.parametrize("threshold", [0.79, 0.62])
+def test_link_candidates_below_the_default_threshold(spark, crowd, threshold):
+    """Entities without aliases link too."""
+    rows = linking.link_candidates(*_crowd_tables(spark, crowd), threshold).collect()
+    want = {(a, b): round(s, 9) for a, b, s in _crowd_pairs(crowd, threshold)}
+    bare = {x["id"] for x in crowd if not x["aliases"]}
+    assert {(r["primary"], r["secondary"]): round(r["similarity"], 9) for r in rows} == want
+    assert threshold > 0.7 or any(bare & set(pair) for pair in want)
+    with pytest.raises(ValueError):
+        linking.link_candidates(*_crowd_tables(spark, crowd), 0.6)
+
+
 @pytest.mark.parametrize("block", [3, 1024])
 def test_link_candidates_equal_all_pairs(spark, crowd, block, monkeypatch):
     monkeypatch.setattr(linking, "BLOCK", block)
