@@ -12,13 +12,13 @@ from __future__ import annotations
 
 import json
 import uuid
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
-from reelgraph.functions import vectors as V
 from reelgraph.operators import knn
 from reelgraph.sources import exchange
 
@@ -118,29 +118,149 @@ def search(
     return knn.top_k(postings.drop("cell"), query, k, threshold, filters)
 
 
+def _packed(entries: dict, names: list[str]):
+    """Packed rows: the ids and their vectors as one run of bytes."""
+    import pandas as pd
+
+    rows = [(*key, [i for i, _ in held], np.stack([v for _, v in held]).tobytes()) for key, held in entries.items()]
+    return pd.DataFrame(rows, columns=names)
+
+
+def _pack(keys, names: list[str], size: int):
+    """Rows to packed rows of at most ``size`` vectors; ``keys(frame)`` gives the keys that each row goes to."""
+
+    def run(frames: Iterator) -> Iterator:
+        held: dict = {}
+        for frame in frames:
+            for key, name, vector in keys(frame):
+                own = held.setdefault(key, [])
+                own.append((name, vector))
+                if len(own) == size:
+                    yield _packed({key: held.pop(key)}, names)
+        if held:
+            yield _packed(held, names)
+
+    return run
+
+
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row inner products, added from the first element to the last as ``vectors.dot`` does: equal vectors have equal scores."""
+    total = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        total += a[:, j].astype("f8") * b[:, j]
+    return total
+
+
+def _cosines(products: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """As ``vectors.cosine``: 0 without a direction, and a value that is no number counts as 1."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        value = np.where(norms == 0, 0.0, products / norms)
+    return np.clip(np.where(np.isnan(value), 1.0, value), -1.0, 1.0)
+
+
+PACK, GROUP_ROWS, GROUP_QUERIES = 1_024, 131_072, 32_768
+BLOCK, BLOCK_ROWS, PAIRS = 512, 4_096, 65_536
+SLACK = 1e-9  # matrix products and sums in order differ by far less
+
+
+def _best_of(asked: np.ndarray, rows: np.ndarray, names: list, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query place, row place, similarity) of each query's k best rows: products of blocks of both, exact sums for those near the k best.
+
+    A block has at most ``BLOCK`` queries and ``BLOCK_ROWS`` rows, and exact sums are taken ``PAIRS`` at a time, so memory is bounded.
+    """
+    lengths, own = np.sqrt(_products(rows, rows)), np.sqrt(_products(asked, asked))
+    by_name = np.empty(len(names), "i8")
+    by_name[sorted(range(len(names)), key=lambda i: (names[i] is not None, names[i] or ""))] = np.arange(len(names))
+    for at in range(0, len(asked), BLOCK):
+        block = asked[at : at + BLOCK].astype("f8")
+        n = len(block)
+        floor = np.full(n, -np.inf)
+        q, r, s = np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0)
+
+        def keep(found_q, found_r, found_s):
+            order = np.lexsort((by_name[found_r], -found_s, found_q))
+            found_q, found_r, found_s = found_q[order], found_r[order], found_s[order]
+            starts = np.searchsorted(found_q, found_q, side="left")
+            top = np.arange(len(found_q)) - starts < k
+            return found_q[top], found_r[top], found_s[top]
+
+        for low in range(0, len(rows), BLOCK_ROWS):
+            part = rows[low : low + BLOCK_ROWS].astype("f8")
+            with np.errstate(invalid="ignore", over="ignore"):
+                near = _cosines(block @ part.T, own[at : at + n, None] * lengths[None, low : low + len(part)])
+            if len(part) > k and np.isinf(floor).any():
+                floor = np.maximum(floor, np.partition(near, len(part) - k, axis=1)[:, len(part) - k])
+            hit_q, hit_r = np.nonzero(near >= (floor - SLACK)[:, None])
+            for cut in range(0, len(hit_q), PAIRS):
+                a, b = hit_q[cut : cut + PAIRS], hit_r[cut : cut + PAIRS] + low
+                with np.errstate(invalid="ignore", over="ignore"):
+                    exact = _cosines(_products(asked[at + a], rows[b]), own[at + a] * lengths[b])
+                q, r, s = keep(np.concatenate([q, a]), np.concatenate([r, b]), np.concatenate([s, exact]))
+            counts = np.bincount(q, minlength=n)
+            last = np.cumsum(counts) - 1
+            full = counts == k
+            floor[full] = np.maximum(floor[full], s[last[full]])
+        yield q + at, r, s
+
+
 def search_many(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, probes: int = 8) -> DataFrame:
     """(query_id, rank, entry_id, similarity) for every row of ``queries`` (query_id, vector), each in its own ``probes`` nearest cells.
 
-    Queries meet posting lists in a join by cell, which adaptive execution splits where a cell is large; ranks are cut in each task first.
+    Vectors travel packed, ``PACK`` to a row.  About ``GROUP_QUERIES`` queries meet about ``GROUP_ROWS`` rows of a cell in one group, so a
+    group is bounded, a large cell is many groups, and each gives k rows a query.  Pairs are as many as the search has: with all cells
+    probed, queries times rows.
     """
+    import pyarrow as pa
+
     postings, centroids = _opened(spark, path)
     table = sorted(centroids.collect(), key=lambda r: r["cell"])
+    kind = queries.schema["query_id"].dataType.simpleString()
+    if not table:
+        return spark.createDataFrame([], f"query_id {kind}, rank int, entry_id string, similarity double")
     matrix = np.array([r["centroid"] for r in table])
+    dim = matrix.shape[1]
+    code = "f8" if postings.schema["vector"].dataType == T.ArrayType(T.DoubleType(), postings.schema["vector"].dataType.containsNull) else "f4"
+    sizes = {r["cell"]: r["n"] for r in postings.where("cell >= 0").groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row a cell
+    parts = {cell: -(-n // GROUP_ROWS) for cell, n in sizes.items()}
+    shares = max(1, -(-queries.count() * min(probes, len(table)) // (len(table) * GROUP_QUERIES)))
 
-    def probed(frames: Iterator) -> Iterator:
-        import pandas as pd
+    def probed(frame):
+        for name, vector in zip(frame["query_id"], frame["vector"], strict=True):
+            if vector is not None and len(vector) == dim:
+                vector = np.asarray(vector, dtype="f4")
+                share = zlib.crc32(str(name).encode()) % shares
+                for cell in _closest(matrix, vector.astype("f8"), probes):
+                    for part in range(parts.get(int(cell), 0)):
+                        yield (int(cell), part, share), name, vector
 
-        for frame in frames:
-            good = [v is not None and len(v) == matrix.shape[1] for v in frame["vector"]]
-            frame = frame[good]
-            cells = [[int(c) for c in _closest(matrix, np.asarray(v, dtype="f8"), probes)] for v in frame["vector"]]
-            yield pd.DataFrame({"query_id": frame["query_id"], "query": frame["vector"], "cell": cells}).explode("cell", ignore_index=True)
+    def stored(frame):
+        for name, vector, cell, part in zip(frame["entry_id"], frame["vector"], frame["cell"], frame["part"], strict=True):
+            yield (int(cell), int(part)), name, np.asarray(vector, dtype=code)
 
-    kind = queries.schema["query_id"].dataType.simpleString()
-    if not table:
-        return spark.createDataFrame([], f"query_id {kind}, rank int, entry_id string, similarity double")
-    asked = queries.select("query_id", F.col("vector").cast("array<float>").alias("vector")).mapInPandas(probed, f"query_id {kind}, query array<float>, cell int")
-    pairs = asked.join(postings.select("entry_id", "vector", "cell"), "cell")
-    scored = pairs.select("query_id", "entry_id", V.cosine(F.col("query"), F.col("vector")).alias("similarity"))
+    asked = queries.select("query_id", F.col("vector").cast("array<float>").alias("vector")).mapInPandas(
+        _pack(probed, ["cell", "part", "share", "ids", "vectors"], PACK), f"cell int, part int, share int, ids array<{kind}>, vectors binary"
+    )
+    counts = F.create_map(*[F.lit(x) for pair in sorted(parts.items()) for x in pair])
+    rows = postings.where("cell >= 0").select(
+        "entry_id", "vector", "cell",
+        F.pmod(F.xxhash64("entry_id"), F.try_element_at(counts, F.col("cell"))).cast("int").alias("part"),
+    ).mapInPandas(_pack(stored, ["cell", "part", "ids", "vectors"], PACK), "cell int, part int, ids array<string>, vectors binary")
+    rows = rows.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+
+    def unpacked(packed, kind):
+        joined = b"".join(v.as_py() for v in packed["vectors"])
+        return packed["ids"].combine_chunks().flatten(), np.frombuffer(joined, dtype=kind).reshape(-1, dim)
+
+    schema = T.StructType([queries.schema["query_id"], T.StructField("entry_id", T.StringType()), T.StructField("similarity", T.DoubleType())])
+
+    def best(left, right):
+        ids, wanted = unpacked(left, "f4")
+        names, vectors_ = unpacked(right, code)
+        found = list(_best_of(wanted, vectors_, names.to_pylist(), k)) if len(wanted) and len(vectors_) else []
+        q, r, s = (np.concatenate([f[i] for f in found]) if found else np.empty(0, "i8" if i < 2 else "f8") for i in range(3))
+        return pa.table({"query_id": ids.take(pa.array(q)), "entry_id": names.take(pa.array(r)), "similarity": pa.array(s)})
+
+    keys = ["cell", "part", "share"]
+    scored = asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(best, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "entry_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "entry_id", "similarity")

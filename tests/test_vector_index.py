@@ -81,3 +81,27 @@ def test_index_of_nothing(spark, stored, tmp_path):
     odd = table.where("entry_id IN ('null', 'zero')")
     vector_index.build(odd, str(tmp_path / "odd"))
     assert vector_index.search(spark, str(tmp_path / "odd"), [1.0] * 16, threshold=None).count() == 2
+
+
+@pytest.mark.parametrize("group", [(131_072, 32_768), (300, 10)])
+def test_search_of_many_in_blocks_equals_pair_by_pair(spark, stored, monkeypatch, group):
+    """Equal vectors in different blocks tie exactly, and no pair is joined on its own."""
+    from pyspark.sql import functions as F
+
+    from reelgraph.functions import vectors as V
+
+    monkeypatch.setattr(vector_index, "GROUP_ROWS", group[0])
+    monkeypatch.setattr(vector_index, "GROUP_QUERIES", group[1])
+    table, path, points = stored
+    asked = [(i, points[i].tolist()) for i in range(0, 4_000, 80)] + [(-1, [0.0] * 16), (-2, [float("nan")] * 16), (-3, [None] + [1.0] * 15), (-4, None)]
+    queries = spark.createDataFrame(asked, "query_id long, vector array<float>")
+    found = vector_index.search_many(spark, path, queries, 10, probes=32)
+    got = {(r.query_id, r["rank"]): (r.entry_id, round(r.similarity, 12)) for r in found.collect()}
+    good = table.where("entry_id NOT IN ('null', 'zero', 'short', 'nan', 'hole')")
+    pairs = queries.where("vector is not null").withColumnRenamed("vector", "q").crossJoin(good)
+    rows = pairs.select("query_id", "entry_id", V.cosine(F.col("q"), F.col("vector")).alias("s")).toPandas()
+    want = {}
+    for query_id, own in rows.sort_values(["query_id", "s", "entry_id"], ascending=[True, False, True]).groupby("query_id"):
+        want |= {(query_id, rank): (r.entry_id, round(r.s, 12)) for rank, r in enumerate(own.head(10).itertuples(), 1)}
+    assert got == want
+    assert "CartesianProduct" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "FlatMapCoGroupsInArrow" in plan
