@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from reelgraph.operators import extraction, linking, resolution as rs
 from reelgraph.operators.folding import dense_index
+from reelgraph.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -30,11 +31,11 @@ def graph_from_responses(responses: DataFrame) -> GraphTables:
     Mentions merge per video by (type, lower-case name); the per-video entities then merge by id, video
     after video, in a fixed order of the videos.
     """
-    parsed = extraction.parse_responses(responses)
+    parsed = cut_lineage(extraction.parse_responses(responses))  # every table below reads it
     m = extraction.entity_mentions(parsed).withColumn("seq", F.concat_ws("#", "chunk_id", F.format_string("%06d", "place")))
     group = ["video_id", "entity_type", "name_key"]
-    heads = rs.merge_mentions(m, within=("video_id",))
-    turns = dense_index(heads, "video_id", "seq")
+    heads = cut_lineage(rs.merge_mentions(m, within=("video_id",)))
+    turns = cut_lineage(dense_index(heads, "video_id", "seq"))
     key = heads.select(*group, "entity_id").join(turns, "video_id")
 
     def owned(children: DataFrame) -> DataFrame:

@@ -403,3 +403,13 @@ def test_relations_are_dealt_before_they_are_ranked(spark):
         got.setdefault(x["entity_id"], []).append((x["other_id"], x["relation_id"]))
     assert got == {a: b[:3] for a, b in want.items()}
     assert "hashpartitioning(other_id" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_responses_are_parsed_once(spark, sf):
+    from reelgraph.plans.knowledge import graph_from_responses
+    from reelgraph.workload import graphs
+
+    g = graph_from_responses(graphs.responses(spark, sf))
+    for rows in (g.entities, g.entity_videos, g.aliases, g.relations):
+        assert "from_json" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert g.entities.count() > 0
