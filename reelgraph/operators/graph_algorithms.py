@@ -44,44 +44,54 @@ def degree_stats(entities: DataFrame, relations: DataFrame) -> DataFrame:
 def connected_components(vertices: DataFrame, relations: DataFrame, max_rounds: int = 60) -> DataFrame:
     """The smallest vertex id of every vertex's undirected component.
 
-    Edges between component labels shrink round by round: each label takes the smallest label next to
-    it, label chains are followed to their end, and edges inside a component fall away.  Chains of
-    any length collapse in one round, so long thin components cost few rounds.
+    Edges between trees shrink round by round: each tree links to the smallest tree next to it, links are followed to their end, and
+    edges inside a tree fall away.  Every tree with an edge joins another, so at least half of them are gone after a round, and links of
+    any length collapse in one.  The only circles are pairs that chose each other, of which the smaller one becomes the root.
     """
     edges = cut_lineage(
         relations.filter(F.col("source_entity") != F.col("target_entity"))
         .select(F.least("source_entity", "target_entity").alias("u"), F.greatest("source_entity", "target_entity").alias("v"))
         .distinct()
     )
-    labels = vertices.select("entity_id", F.col("entity_id").alias("component"))
+    trees = None  # (node, root) of every vertex that has an edge
     for _ in range(max_rounds):
-        if edges.isEmpty():
-            return labels
         both = edges.select(F.inline(F.array(
             F.struct(F.col("u").alias("node"), F.col("v").alias("near")),
             F.struct(F.col("v").alias("node"), F.col("u").alias("near")),
         )))
-        parent = cut_lineage(
-            both.groupBy("node").agg(F.min("near").alias("m")).select("node", F.least("node", "m").alias("root"))
-        )
-        # Follow the pointers to their ends; every hop doubles the distance covered.
+        chosen = cut_lineage(both.groupBy("node").agg(F.min("near").alias("root")))
+        if chosen.isEmpty():
+            break
+        back = chosen.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        root = F.when((F.col("next") == F.col("node")) & (F.col("node") < F.col("root")), F.col("node")).otherwise(F.col("root"))
+        parent = cut_lineage(chosen.join(back, "root").select("node", root.alias("root")))
+        # Follow the links to their ends; every hop doubles the distance covered.
         while True:
             up = parent.select(F.col("node").alias("root"), F.col("root").alias("next"))
             hopped = cut_lineage(parent.join(up, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
             parent = hopped.select("node", "root")
             if hopped.filter("moved").isEmpty():
                 break
-        labels = cut_lineage(
-            labels.join(parent.withColumnRenamed("node", "component"), "component", "left")
-            .select("entity_id", F.coalesce("root", "component").alias("component"))
-        )
+        if trees is None:
+            trees = parent
+        else:
+            higher = parent.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            trees = cut_lineage(trees.join(higher, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
         left = parent.select(F.col("node").alias("u"), F.col("root").alias("ru"))
         right = parent.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-        edges = cut_lineage(
+        edges = (
             edges.join(left, "u").join(right, "v").filter(F.col("ru") != F.col("rv"))
             .select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct()
         )
-    raise RuntimeError(f"components not settled after {max_rounds} rounds")
+        edges = cut_lineage(edges)
+    else:
+        raise RuntimeError(f"components not settled after {max_rounds} rounds")
+    if trees is None:
+        return vertices.select("entity_id", F.col("entity_id").alias("component"))
+    # Ends of relations count, whether or not they are given as vertices.
+    least = trees.groupBy("root").agg(F.min("node").alias("component"))
+    labels = trees.join(least, "root").select(F.col("node").alias("entity_id"), "component")
+    return vertices.select("entity_id").join(labels, "entity_id", "left").select("entity_id", F.coalesce("component", "entity_id").alias("component"))
 
 
 def component_stats(components: DataFrame) -> DataFrame:

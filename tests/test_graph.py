@@ -413,3 +413,25 @@ def test_responses_are_parsed_once(spark, sf):
     for rows in (g.entities, g.entity_videos, g.aliases, g.relations):
         assert "from_json" not in rows._jdf.queryExecution().optimizedPlan().toString()
     assert g.entities.count() > 0
+
+
+def test_components_of_linked_stars_take_one_round(spark, monkeypatch):
+    """Vertices smaller than all their neighbours join a tree too, so the edges of the whole graph are read once."""
+    rows = [(f"S{i}", f"P{i * 7 % 50 + j}") for i in range(30) for j in range(5)] + [(f"S{i}", f"N{i % 3}") for i in range(30)] + [("X", "Y")]
+    r = spark.createDataFrame(rows, "source_entity string, target_entity string")
+    v = r.select(F.col("source_entity").alias("entity_id")).union(r.select("target_entity")).union(spark.createDataFrame([("alone",)], "id string")).distinct()
+    written, cut = [], ga.cut_lineage
+    monkeypatch.setattr(ga, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    got = dict(map(tuple, ga.connected_components(v, r).collect()))
+    root = {x: x for x in got}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in rows:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    assert got == {x: top(x) for x in got}
+    assert sum(c == ["u", "v"] for c in written) == 2
