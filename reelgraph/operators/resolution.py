@@ -6,7 +6,7 @@ then a plain partial aggregate plus distinct child rows; no row and no task ever
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reelgraph.operators.folding import fold_affine, running_sum
 
@@ -69,15 +69,13 @@ def fold_confidence(versions: DataFrame, chunks: DataFrame, key: str = "entity_i
     union minus n; with an empty union it changes nothing.
     """
     distinct = chunks.select(key, "seq", "chunk_id").distinct()
-    own = distinct.groupBy(key, "seq").agg(F.count("*").alias("n"))
-    fresh = (
-        distinct.groupBy(key, "chunk_id").agg(F.min("seq").alias("seq"))
-        .groupBy(key, "seq").agg(F.count("*").alias("fresh"))
-    )
-    base = (
-        versions.select(key, "seq", "confidence").join(own, [key, "seq"], "left").join(fresh, [key, "seq"], "left")
-        .fillna(0, ["n", "fresh"])
-    )
+    here = F.row_number().over(Window.partitionBy(key, "chunk_id").orderBy("seq")) == 1
+    # One grouping gives each version its chunks, those of them not seen before, and its confidence.
+    parts = distinct.select(key, "seq", F.lit(None).cast("double").alias("confidence"), F.lit(1).alias("n"), here.cast("int").alias("fresh"))
+    given = versions.select(key, "seq", F.col("confidence").cast("double").alias("confidence"), F.lit(0).alias("n"), F.lit(0).alias("fresh"), F.lit(1).alias("given"))
+    base = parts.withColumn("given", F.lit(0)).unionByName(given).groupBy(key, "seq").agg(
+        F.max("confidence").alias("confidence"), F.sum("n").alias("n"), F.sum("fresh").alias("fresh"), F.max("given").alias("_given")
+    ).filter(F.col("_given") == 1).drop("_given")
     base = running_sum(base, [key], "seq", "fresh", "union")
     first = versions.groupBy(key).agg(F.min("seq").alias("_first"))
     steps = base.join(first, key)

@@ -435,3 +435,13 @@ def test_components_of_linked_stars_take_two_rounds(spark, monkeypatch):
         root[b] = a
     assert got == {x: top(x) for x in got}
     assert sum(c == ["u", "v"] for c in written) == 3  # given, between the three trees of the first round, none
+
+
+def test_confidence_of_versions_takes_no_outer_join(spark):
+    rows = [("a", 3, 0.5), ("a", 1, 0.9), ("b", 2, 0.4)]
+    versions = spark.createDataFrame(rows, "entity_id string, seq long, confidence double")
+    chunks = spark.createDataFrame([("a", 1, "x"), ("a", 1, "y"), ("a", 3, "x"), ("a", 3, "z"), ("b", 7, "x")], "entity_id string, seq long, chunk_id string")
+    made = rs.fold_confidence(versions, chunks)
+    assert "LeftOuter" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.entity_id: round(r.confidence, 9) for r in made.collect()}
+    assert got == {"a": round((0.9 * 1 + 0.5 * 2) / 3, 9), "b": 0.4}
