@@ -1,7 +1,7 @@
 """Retrieval: understand a query, run its legs, fuse, score, rank.
 
-Understanding runs once, over one row.  The legs are lazy DataFrames, so the whole answer is one
-Catalyst plan; nothing is read until the caller acts.
+Understanding runs once, over one row.  The ids of named entities are written once, so that their relations are
+cut by them at the scan.  The rest is one Catalyst plan, and nothing of it is read until the caller acts.
 """
 
 from __future__ import annotations

@@ -445,3 +445,27 @@ def test_confidence_of_versions_takes_no_outer_join(spark):
     assert "LeftOuter" not in made._jdf.queryExecution().optimizedPlan().toString()
     got = {r.entity_id: round(r.confidence, 9) for r in made.collect()}
     assert got == {"a": round((0.9 * 1 + 0.5 * 2) / 3, 9), "b": 0.4}
+
+
+def test_relations_of_few_entities_are_cut_below_their_grouping(spark, monkeypatch):
+    e = spark.createDataFrame([(c, c, "", 0.5) for c in "abcd"], "entity_id string, name string, description string, confidence double")
+    ends = [("a", "b"), ("a", "b"), ("b", "a"), ("a", "a"), ("c", "d"), ("d", "a"), (None, "a"), ("a", None), ("a", "x")]
+    raw = spark.createDataFrame([(s, t, i / 10) for i, (s, t) in enumerate(ends)], "source_entity string, target_entity string, c double")
+    r = raw.groupBy("source_entity", "target_entity").agg(F.max("c").alias("confidence")).select(
+        "*", F.concat_ws("-", "source_entity", "target_entity").alias("relation_id"), F.lit("T").alias("relation_type")
+    )
+    of = e.filter("entity_id in ('a', 'd')").select("entity_id")
+
+    def found():
+        return gs.related_entities(r, e, of, 2)
+
+    def rows():
+        return sorted((x.entity_id, x.other_id, x.direction, x.strength, x.place) for x in found().collect())
+
+    lines = found()._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = {i: len(line) - len(line.lstrip(" :+-")) for i, line in enumerate(lines)}
+    grouped = [i for i, line in enumerate(lines) if "Aggregate [source_entity" in line]
+    assert len(grouped) == 2 and all("Join LeftSemi" in lines[i + 1] and depth[i + 1] > depth[i] for i in grouped)
+    few = rows()
+    monkeypatch.setattr(gs, "FEW_ENTITIES", 0)
+    assert few == rows() == [("a", "a", "out", 0.3, 2), ("a", "d", "in", 0.5, 1), ("d", "a", "out", 0.5, 1), ("d", "c", "in", 0.4, 2)]
