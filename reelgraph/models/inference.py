@@ -55,14 +55,27 @@ def _call(model: Model, values: list) -> list:
     return out
 
 
+def answers(model: Model, values: Sequence) -> list:
+    """The model's output per value; null for null."""
+    some = [v for v in values if v is not None]
+    out = _call(model, some)
+    if len(out) != len(some):
+        raise ValueError(f"{model.name}: {len(out)} outputs for {len(some)} values")
+    if len(some) == len(values):
+        return out
+    given = iter(out)
+    return [None if v is None else next(given) for v in values]
+
+
 def apply_model(model: Model, column: Column) -> Column:
     """The model's output for a column; null in, null out."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for values in batches:
-            out: list = [None] * len(values)
-            some = [i for i, v in enumerate(values) if v is not None]
-            for i, result in zip(some, _call(model, [values.iloc[i] for i in some])):
+            given = list(values)
+            out: list = [None] * len(given)
+            some = [i for i, v in enumerate(given) if v is not None]
+            for i, result in zip(some, _call(model, [given[i] for i in some])):
                 out[i] = result
             yield pd.Series(out, dtype=object)
 
@@ -74,11 +87,7 @@ def apply_model_to_each(model: Model, column: Column) -> Column:
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for values in batches:
-            flat = [v for row in values if row is not None for v in row]
-            some = [i for i, v in enumerate(flat) if v is not None]
-            out: list = [None] * len(flat)
-            for i, result in zip(some, _call(model, [flat[i] for i in some]), strict=True):
-                out[i] = result
+            out = answers(model, [v for row in values if row is not None for v in row])
             rows, at = [], 0
             for row in values:
                 rows.append(None if row is None else out[at : at + len(row)])

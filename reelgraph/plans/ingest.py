@@ -1,10 +1,12 @@
 """Ingest: media files to the metadata tables and vectors, with an injected decoder.
 
 1. Every file is probed; one that can't be opened becomes one row with ``success`` false.
-2. A file is cut into parts of ``part_chunks`` chunks, which are dealt to all tasks, so a long file doesn't keep one task busy.
-3. A generator decodes each part chunk by chunk: sampled frames and the chunk's sound.  It holds a bounded batch of chunks.
-4. In the same pass the models caption, transcribe and embed; pictures and sound go no further.  The outcome is written once, then the
-   tables are read off it.  Nothing is grouped by video but the counts, which combine map-side.
+2. A file is cut into parts of ``part_chunks`` chunks, which are dealt to all tasks, so a long file doesn't keep one task busy.  Where the
+   row has the content, a share of parts travels with a copy of it, so there are no more shares than ``SHARE_BYTES`` in the content.
+3. A generator decodes each share chunk by chunk: sampled frames and the chunk's sound.  It holds a bounded batch of chunks, which the models
+   caption, transcribe and embed at once, so that pictures and sound never leave their task.
+4. The outcome (a row per file, chunk and failure) is written once, then the tables are read off it.  Nothing is grouped by video but the
+   counts, which combine map-side; chunks of failed files are taken out where they lie, as long as the failed ids fit a broadcast.
 
 If any part of a file fails, the file is one failed row and none of its chunks, frames, segments or vectors remain.
 """
@@ -14,14 +16,15 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import accumulate, chain
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from reelgraph.functions import ids, text, vectors
-from reelgraph.models.inference import Model, apply_model, apply_model_to_each
-from reelgraph.sources.media_files import failed_video
+from reelgraph.models.inference import Model, answers, apply_model
 from reelgraph.session import cut_lineage
 
 
@@ -50,32 +53,33 @@ class Models:
 
 
 BATCH_BYTES, BATCH_CHUNKS = 16_000_000, 256  # of decoded chunks that a task holds
+SHARE_BYTES = 1_000_000  # of a file's content for each further task that gets a copy of it
+BROADCAST_IDS = 200_000  # of failed files
 
-_FILE = "video_id string, video_path string, filename string, size_bytes bigint, content binary"
-_PROBED = f"{_FILE}, fps double, total_frames bigint, resolution string, error string"
-_PARTS = (
-    "video_id string, chunk_index bigint, start_time double, end_time double, "
-    "frames array<struct<frame_index:bigint, timestamp:double>>, images array<binary>, sound binary, error string"
-)
+_FOUND = "fps double, total_frames bigint, resolution string, error string"
+_FILE = ("video_path", "filename", "size_bytes", "fps", "total_frames", "resolution")
 
 
-def _probe(opener: Opener):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+def _probe(opener: Opener, path: Column, content: Column, fits: Column) -> Column:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for paths, contents, supported in batches:
             rows = []
-            for path, content in zip(frame["video_path"], frame["content"], strict=True):
+            for name, data, known in zip(paths, contents, supported, strict=True):
                 try:
-                    media = opener(path, content)
+                    if not known:
+                        rows.append((None, None, None, "unsupported format"))
+                        continue
+                    media = opener(name, data)
                     if not (media.fps > 0 and media.total_frames > 0):
                         raise ValueError("no frames")
                     rows.append((float(media.fps), int(media.total_frames), media.resolution, None))
                 except Exception as e:  # the failure is the row's outcome
                     rows.append((None, None, None, f"{type(e).__name__}: {e}"))
-            found = pd.DataFrame(rows, columns=["fps", "total_frames", "resolution", "error"], index=frame.index)
+            found = pd.DataFrame(rows, columns=["fps", "total_frames", "resolution", "error"])
             found["total_frames"] = found["total_frames"].astype("Int64")
-            yield pd.concat([frame, found], axis=1)
+            yield found
 
-    return run
+    return F.pandas_udf(run, _FOUND)(path, content, fits)
 
 
 def sampled(start: float, end: float, fps: float, total: int, per_chunk: int) -> list[int]:
@@ -87,30 +91,74 @@ def sampled(start: float, end: float, fps: float, total: int, per_chunk: int) ->
     return [math.floor(first + i * ((last - first) / n)) for i in range(n)]
 
 
-def _decode(opener: Opener, seconds: float, per_chunk: int, part_chunks: int):
-    names = ["video_id", "chunk_index", "start_time", "end_time", "frames", "images", "sound", "error"]
+def _vector_type(model: Model | None) -> str:
+    return model.output.simpleString() if model else "array<float>"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                try:
-                    media = opener(row.video_path, row.content)
-                    duration = media.total_frames / media.fps
-                    for index in range(row.part * part_chunks, min((row.part + 1) * part_chunks, math.ceil(duration / seconds))):
-                        start, end = index * seconds, min((index + 1) * seconds, duration)
-                        places = sampled(start, end, media.fps, media.total_frames, per_chunk)
-                        times = [{"frame_index": i, "timestamp": i / media.fps} for i in places]
-                        images, sound = media.frames(places), media.sound(start, end)
-                        held.append((row.video_id, index, start, end, times, images, sound, None))
-                        size += sum(map(len, images)) + len(sound or b"")
-                        if size > BATCH_BYTES or len(held) >= BATCH_CHUNKS:
-                            yield pd.DataFrame(held, columns=names)
-                            held, size = [], 0
-                except Exception as e:  # the failure is the file's outcome
-                    held.append((row.video_id, None, None, None, [], [], None, f"{type(e).__name__}: {e}"))
+
+def _outcome(models: Models) -> str:
+    return (
+        "video_id string, is_file boolean, video_path string, filename string, size_bytes bigint, fps double, total_frames bigint, "
+        "resolution string, error string, chunk_index bigint, start_time double, end_time double, places array<bigint>, times array<double>, "
+        f"captions array<string>, image_vectors array<{_vector_type(models.embed_image)}>, transcript string"
+    )
+
+
+def _decode(opener: Opener, models: Models, seconds: float, per_chunk: int, part_chunks: int):
+    double = models.embed_image is not None and models.embed_image.output == T.ArrayType(T.DoubleType())
+    vector = pa.list_(pa.float64() if double else pa.float32())
+
+    def answered(held: list[tuple]) -> pa.RecordBatch:
+        """The rows of the files, chunks and failures held, with the models' outputs in place of pictures and sound."""
+        files, errors, spans, places, times, images, sounds = zip(*held, strict=True)
+        flat = list(chain.from_iterable(images))
+        seen = answers(models.embed_image, flat) if models.embed_image else [None] * len(flat)
+
+        def listed(like, values, kind):
+            """The values as lists as long as those of ``like``."""
+            return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, like))], pa.int32()), pa.array(values, kind))
+
+        kinds = (pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.string())
+        columns = [pa.array(c, k) for c, k in zip(zip(*files, strict=True), kinds, strict=True)] + [pa.array(errors, pa.string())]
+        columns += [pa.array(c, k) for c, k in zip(zip(*spans, strict=True), (pa.int64(), pa.float64(), pa.float64()), strict=True)]
+        columns += [
+            listed(places, list(chain.from_iterable(places)), pa.int64()), listed(times, list(chain.from_iterable(times)), pa.float64()),
+            listed(images, answers(models.caption, flat), pa.string()), listed(images, seen, vector),
+            pa.array(["" if s is not None and t is None else t for s, t in zip(sounds, answers(models.transcribe, sounds), strict=True)], pa.string()),
+        ]
+        names = ["video_id", "is_file", *_FILE, "error", "chunk_index", "start_time", "end_time", "places", "times", "captions", "image_vectors", "transcript"]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    def read(row: dict) -> Iterator[tuple[tuple, int]]:
+        """What one share of a file gives, with its bytes."""
+        none, part_of = (None, None, None), (row["video_id"], False, *[None] * len(_FILE))
+        if row["share"] == 0:
+            yield ((row["video_id"], True, *[row[c] for c in _FILE]), row["error"], none, (), (), (), None), 0
+        if row["error"] is not None:
+            return
+        try:
+            media = opener(row["video_path"], row["content"])
+            duration = media.total_frames / media.fps
+            for index in range(row["first"] * part_chunks, min(row["last"] * part_chunks, math.ceil(duration / seconds))):
+                start, end = index * seconds, min((index + 1) * seconds, duration)
+                places = sampled(start, end, media.fps, media.total_frames, per_chunk)
+                images, sound = media.frames(places), media.sound(start, end)
+                size = sum(map(len, images)) + len(sound or b"")
+                yield (part_of, None, (index, start, end), places, [i / media.fps for i in places], images, sound), size
+        except Exception as e:  # the failure is the file's outcome
+            yield (part_of, f"{type(e).__name__}: {e}", none, (), (), (), None), 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                for item, size in read(row):
+                    held.append(item)
+                    total += size
+                    if total > BATCH_BYTES or len(held) >= BATCH_CHUNKS:
+                        yield answered(held)
+                        held, total = [], 0
         if held:
-            yield pd.DataFrame(held, columns=names)
+            yield answered(held)
 
     return run
 
@@ -130,48 +178,52 @@ def ingest(
         F.col("content").cast("binary").alias("content"),
     ).dropDuplicates(["video_id"])
     fits = F.lower(F.regexp_extract("video_path", r"\.([A-Za-z0-9]+)$", 1)).isin(*formats) if formats is not None else F.lit(True)
-    probed = cut_lineage(known.where(fits).mapInPandas(_probe(opener), _PROBED))
-    refused = known.where(~fits).select("video_id", "video_path", F.lit("unsupported format").alias("error"))
+    probed = known.withColumn("fits", F.coalesce(fits, F.lit(False))).withColumn("content", F.when(F.col("fits"), F.col("content")))
+    probed = probed.withColumn("found", _probe(opener, F.col("video_path"), F.col("content"), F.col("fits"))).select(*known.columns, "found.*")
 
-    parts = F.ceil(F.col("total_frames") / F.col("fps") / (seconds * part_chunks))
+    whole = F.coalesce(F.ceil(F.col("total_frames") / F.col("fps") / (seconds * part_chunks)), F.lit(0).cast("bigint"))
+    copies = F.ceil(F.octet_length("content") / F.lit(float(SHARE_BYTES)))
     dealt = (
-        probed.where("error is null").select("video_id", "video_path", "content", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"))
-        .repartition("video_id", "part")
+        probed.withColumn("parts", whole)
+        .withColumn("shares", F.greatest(F.least("parts", copies), F.lit(1).cast("bigint")))  # least passes over nulls: without content, every part
+        .withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)))
+        .select(
+            "video_id", *_FILE, "content", "error", "share",
+            F.expr("share * parts div shares").alias("first"), F.expr("(share + 1) * parts div shares").alias("last"),
+        )
+        .repartition("video_id", "share")
     )
-    decoded = dealt.mapInPandas(_decode(opener, seconds, per_chunk, part_chunks), _PARTS)
-    chunk = ids.chunk_id(F.col("video_id"), F.col("chunk_index"))
-    none = F.array().cast("array<string>")
+    decoded = dealt.mapInArrow(_decode(opener, models, seconds, per_chunk, part_chunks), _outcome(models))
+    is_chunk = F.col("chunk_index").isNotNull()
     made = decoded.withColumns({
-        "chunk_id": chunk, "captions": F.transform(apply_model_to_each(models.caption, F.col("images")), lambda c: F.coalesce(c, F.lit(""))),
-        "transcript": F.when(F.col("sound").isNotNull(), F.trim(F.coalesce(apply_model(models.transcribe, F.col("sound")), F.lit("")))),
-        "image_vectors": _each_vector(models.embed_image),
+        "chunk_id": F.when(is_chunk, ids.chunk_id(F.col("video_id"), F.col("chunk_index"))), "transcript": F.trim("transcript"),
     })
-    shown = F.slice(F.filter(F.coalesce("captions", none), lambda c: c != ""), 1, 3)
-    made = made.withColumn("unified_description", text.unified_description(shown, F.coalesce("transcript", F.lit(""))))
-    wanted = F.when(F.col("error").isNull() & (F.col("unified_description") != ""), F.col("unified_description"))
+    described = text.unified_description(F.col("captions"), F.coalesce("transcript", F.lit("")))
+    made = made.withColumn("unified_description", F.when(is_chunk, described))
+    wanted = F.when(F.col("unified_description") != "", F.col("unified_description"))
     made = made.withColumn("text_vector", apply_model(models.embed_text, wanted) if models.embed_text else F.lit(None).cast("array<float>"))
     made = made.withColumn("chunk_vector", vectors.fuse_chunk_embedding(F.col("text_vector"), F.get("image_vectors", F.lit(0))).cast("array<float>"))
-    outcome = cut_lineage(made.drop("images", "sound", "text_vector"))
-
-    broken = outcome.where("error is not null").groupBy("video_id").agg(F.min("error").alias("error"))
-    good = outcome.where("error is null").join(broken, "video_id", "left_anti")
-    counts = good.groupBy("video_id").agg(F.count("*").cast("int").alias("chunk_count"), F.sum(F.size("frames")).cast("int").alias("frame_count"))
-    read = probed.where("error is null").drop("content", "error")
-    at = F.lit(float(now))
-    fine = read.join(broken, "video_id", "left_anti").join(counts, "video_id", "left").select(
-        "video_id", "video_path", "filename", (F.col("total_frames") / F.col("fps")).alias("duration"), "fps", "resolution", "size_bytes",
-        F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.coalesce("frame_count", F.lit(0)).alias("frame_count"),
-        at.alias("created_at"), at.alias("updated_at"), F.lit(True).alias("success"), F.lit(None).cast("string").alias("error_message"),
+    outcome = cut_lineage(made.drop("text_vector"))
+
+    broken = cut_lineage(outcome.where("not is_file and error is not null").groupBy("video_id").agg(F.min("error").alias("failure")))
+    cut = outcome.where(is_chunk)
+    good = _without(cut, broken.select("video_id"))
+    counts = cut.groupBy("video_id").agg(F.count("*").cast("int").alias("chunks"), F.sum(F.size("places")).cast("int").alias("shots"))
+    at, fine = F.lit(float(now)), F.col("error").isNull()
+    files = (
+        outcome.where("is_file").select("video_id", *_FILE, "error").join(broken, "video_id", "left").join(counts, "video_id", "left")
+        .withColumn("error", F.coalesce("error", "failure"))
     )
-    failed = (
-        probed.where("error is not null").select("video_id", "video_path", "error").unionByName(refused)
-        .unionByName(read.join(broken, "video_id").select("video_id", "video_path", "error"))
-        .select("video_id", *failed_video(F.col("video_path"), F.col("error"))[1:])
-        .withColumns({"filename": F.element_at(F.split("video_path", "/"), -1), "created_at": at, "updated_at": at, "chunk_count": F.lit(0), "frame_count": F.lit(0)})
+    videos = files.select(
+        "video_id", "video_path", "filename", F.when(fine, F.col("total_frames") / F.col("fps")).otherwise(F.lit(0.0)).alias("duration"),
+        *[F.when(fine, F.col(c)).alias(c) for c in ("fps", "resolution", "size_bytes")],
+        F.when(fine, F.coalesce("chunks", F.lit(0))).otherwise(F.lit(0)).alias("chunk_count"),
+        F.when(fine, F.coalesce("shots", F.lit(0))).otherwise(F.lit(0)).alias("frame_count"),
+        at.alias("created_at"), at.alias("updated_at"), fine.alias("success"), F.col("error").alias("error_message"),
     )
-    rows = good.select("chunk_id", "video_id", F.posexplode(F.arrays_zip("frames", "captions", "image_vectors")).alias("frame_no", "f")).select(
-        ids.frame_id(F.col("chunk_id"), F.col("frame_no")).alias("frame_id"), "chunk_id", "video_id", F.col("f.frames.timestamp").alias("timestamp"),
-        F.col("f.frames.frame_index").cast("int").alias("frame_index"), F.col("f.captions").alias("caption"), F.lit(0.8).alias("confidence"),
+    rows = good.select("chunk_id", "video_id", F.posexplode(F.arrays_zip("places", "times", "captions", "image_vectors")).alias("frame_no", "f")).select(
+        ids.frame_id(F.col("chunk_id"), F.col("frame_no")).alias("frame_id"), "chunk_id", "video_id", F.col("f.times").alias("timestamp"),
+        F.col("f.places").cast("int").alias("frame_index"), F.coalesce("f.captions", F.lit("")).alias("caption"), F.lit(0.8).alias("confidence"),
         F.lit("").alias("image_path"), at.alias("created_at"), F.col("f.image_vectors").alias("vector"),
     )
     heard = good.where("transcript is not null").select(
@@ -180,9 +232,9 @@ def ingest(
     )
     spoken = F.col("transcript").isNotNull()
     return {
-        "videos": fine.unionByName(failed, allowMissingColumns=True),
+        "videos": videos,
         "chunks": good.select(
-            "chunk_id", "video_id", "start_time", "end_time", F.size("frames").alias("frame_count"), "unified_description",
+            "chunk_id", "video_id", "start_time", "end_time", F.size("places").alias("frame_count"), "unified_description",
             spoken.alias("has_audio"), at.alias("created_at"),
         ),
         "frames": rows.drop("vector"),
@@ -191,11 +243,11 @@ def ingest(
     }
 
 
-def _each_vector(model: Model | None):
-    """A vector per picture, or as many nulls."""
-    if model is not None:
-        return apply_model_to_each(model, F.col("images"))
-    return F.transform("images", lambda _: F.lit(None).cast("array<float>"))
+def _without(chunks: DataFrame, broken: DataFrame) -> DataFrame:
+    """The chunks of whole files.  Many failed ids shuffle the chunks, once for all tables."""
+    if broken.count() <= BROADCAST_IDS:
+        return chunks.join(F.broadcast(broken), "video_id", "left_anti")
+    return cut_lineage(chunks.join(broken, "video_id", "left_anti"))
 
 
 def _vector_rows(good: DataFrame, frames: DataFrame, at) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import pytest
 
+import reelgraph.plans.ingest as plan
+from reelgraph.functions import ids
 from reelgraph.models.inference import VECTOR, Model, fixed_text
 from reelgraph.plans.ingest import Models, TextReel, ingest, sampled
 from reelgraph.schema import METADATA_TABLES, VECTORS
@@ -101,5 +103,80 @@ def test_without_embedders_and_without_files(spark):
     assert all(t.count() == 0 for t in ingest(files.limit(0), TextReel, models(), now=0.0).values())
 
 
+def logged(log):
+    class Logged(TextReel):
+        """Notes each opening; reads ``long.txt`` from its path."""
+
+        def __init__(self, path, content):
+            with open(log, "a") as f:
+                f.write(path + "\n")
+            words = b" ".join(b"w%d" % i for i in range(2_000))
+            TextReel.__init__(self, path, words if path == "a/long.txt" else content)
+
+    return Logged
+
+
+def test_content_is_opened_once_and_never_written(spark, tmp_path, monkeypatch):
+    written, cut = [], plan.cut_lineage
+    monkeypatch.setattr(plan, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    files = spark.createDataFrame([("a/deep.txt", 9, 1.0, b"word " * 2_000, "x", 9.0)], FILES)
+    made = ingest(files, logged(str(tmp_path / "log")), models(), now=0.0, part_chunks=1)
+    assert made["chunks"].count() == 67
+    assert (tmp_path / "log").read_text().split() == ["a/deep.txt"] * 2  # the probe and one share; 68 before
+    assert not any("content" in columns for columns in written)
+
+
+def test_shares_without_content_or_of_long_content(spark, tmp_path, monkeypatch):
+    row = ("a/long.txt", 9, 1.0, None, "x", 9.0)
+    whole = ingest(spark.createDataFrame([row], FILES), logged(str(tmp_path / "path")), models(), now=0.0, part_chunks=7)
+    monkeypatch.setattr(plan, "SHARE_BYTES", 4_000)
+    long = spark.createDataFrame([r for r in [(*r, "x", 9.0) for r in rows()] if r[0] == "a/long.txt"], FILES)
+    shared = ingest(long, logged(str(tmp_path / "content")), models(), now=0.0, part_chunks=7)
+    assert len((tmp_path / "path").read_text().split()) == 1 + 10 and len((tmp_path / "content").read_text().split()) == 1 + 3
+    for name in ("videos", "chunks", "frames", "audio_segments"):
+        assert sorted(map(str, whole[name].collect())) == sorted(map(str, shared[name].collect())), name
+    assert whole["chunks"].count() == 67 and whole["frames"].count() == 335
+
+
+def test_many_failed_files_give_the_same_tables(spark, made, monkeypatch):
+    monkeypatch.setattr(plan, "BROADCAST_IDS", 0)
+    files = spark.createDataFrame([(*r, "x", 9.0) for r in rows()], FILES)
+    again = ingest(files, broken(), models(), now=5.0, part_chunks=7, formats=("txt",))
+    for name, table in again.items():
+        assert sorted(map(str, table.collect())) == sorted(map(str, made[name].collect())), name
+
+
+def test_chunks_are_not_shuffled_to_leave_out_failed_files(spark):
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    kept = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        files = spark.createDataFrame([(*r, "x", 9.0) for r in rows()], FILES)
+        made = ingest(files, broken(), models(), now=5.0, formats=("txt",))
+        for name in ("chunks", "frames", "audio_segments", "vectors"):
+            assert "SortMergeJoin" not in made[name]._jdf.queryExecution().executedPlan().toString(), name
+    finally:
+        spark.conf.set(limit, kept)
+
+
+def test_a_medium_that_gives_too_few_pictures(spark):
+    class Short(TextReel):
+        def frames(self, indexes):
+            return TextReel.frames(self, indexes)[:-1]
+
+    files = spark.createDataFrame([("a/few.txt", 9, 1.0, b"one dark two", "x", 9.0)], FILES)
+    made = ingest(files, Short, models(), now=0.0)
+    frames = sorted(made["frames"].collect(), key=lambda r: r.frame_index)
+    assert [(r.frame_index, r.caption) for r in frames] == [(0, "ONE"), (1, ""), (2, "")]
+
+
+def test_numbered_ids_are_the_formatted_ones(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("v", n) for n in (0, 7, 9999, 10000, 123456, -3, None)] + [(None, 1)], "v string, n bigint")
+    both = rows.select(ids.chunk_id(F.col("v"), F.col("n")), F.format_string("%s_chunk_%04d", "v", "n")).collect()
+    assert all(a == b for a, b in both) and len(both) == 8
+
+
 def test_sampled_frames():
     assert sampled(0.0, 30.0, 1.0, 100, 5) == [0, 6, 12, 18, 24] and sampled(90.0, 100.0, 0.25, 25, 5) == [22, 23, 24]
